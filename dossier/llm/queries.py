@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from dossier.llm.packing import op3_packing
+from dossier.llm.quality import op1_quality
+from dossier.llm.simhash import op5_simhash
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_packing": op3_packing,
+    "op5_simhash": op5_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
