@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dossier.llm.packing import op3_packing
+from dossier.llm.pii import op10_pii
 from dossier.llm.quality import op1_quality
 from dossier.llm.simhash import op5_simhash
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
