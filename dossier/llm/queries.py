@@ -5,12 +5,14 @@ from __future__ import annotations
 from dossier.llm.packing import op3_packing
 from dossier.llm.pii import op10_pii
 from dossier.llm.quality import op1_quality
+from dossier.llm.secret_scan import op6_secrets
 from dossier.llm.simhash import op5_simhash
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
+    "op6_secrets": op6_secrets,
     "op10_pii": op10_pii,
 }
 
