@@ -8,12 +8,14 @@ texts, and at most one of its sequences is left badly filled, so sharding costs
 
 from __future__ import annotations
 
+import base64
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,15 +26,18 @@ MAX_TOKENS = 1024
 END_OF_DOCUMENT = 2
 #: Pieces a shard holds on average; a shard of lengths takes a few MB.
 PIECES_PER_SHARD = 16_384
-#: Remembered chunks of text a worker keeps; the memo is emptied when it is full.
-MEMO_CHUNKS = 600_000
+#: Characters of a text that are tokenized at a time; bounds a task's memory for very long texts.
+CHARS_AT_ONCE = 200_000
 
-#: The byte-level pre-tokenizer never joins a non-space character to a following single space, so each chunk's
-#: tokens are the same alone as within the text.
-_CHUNK = re.compile(r"(?<=\S)(?= \S)")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-_memo: dict[str, dict[str, bytes]] = {}
-_tokenizers: dict[str, object] = {}
+#: The byte-level pre-tokenizer never joins a non-space character to a single space or line end that follows, so the
+#: tokens before and after such a place are the same alone as within the text.
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Any character outside blocks of Latin, Greek, Cyrillic, Kana, Han, Hangul and common punctuation, in which every
+#: library draws the same line between letters, numbers, white space and the rest.
+_UNUSUAL = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\xac\\xae-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u2010-\u2027\u2030-\u205e\u20ac\u3001-\u3003\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e]")
+SPECIAL = "<|endoftext|>"
+
+_encoders: dict[tuple[str, str | None], Encoder] = {}
 
 
 def default_tokenizer_path() -> str:
@@ -41,40 +46,55 @@ def default_tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
-        from tokenizers import Tokenizer
-
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
-
+def default_ranks_path() -> str:
+    import public_tokenizers
 
-def split_chunks(text: str) -> list[str]:
-    """Cut before each single space that stands between two non-space characters; the space itself is left out."""
-    plain = not (text[:1].isspace() or text[-1:].isspace() or "  " in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text))
-    return text.split(" ") if plain else [c[i > 0 :] for i, c in enumerate(_CHUNK.split(text))]
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def encode_texts(texts: Iterable[str], path: str, memo: dict[str, bytes]) -> list[bytes]:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes.
+class Encoder:
+    """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    A text is cut where its tokens can't cross, and each distinct chunk is tokenized once; ``memo`` keeps the ids of
-    chunks with the space before them. A text's first chunk has none and is tokenized by itself.
+    ``tokenizer_path`` defines the ids. ``ranks_path``, if given, is a rank file of the same vocabulary: texts of usual
+    characters take it, as it is read by a faster library; all others, and texts with a special token's name, don't.
     """
-    chunks = [split_chunks(t) for t in texts]
-    unseen: set[str] = set()
-    for cs in chunks:
-        unseen.update(cs[1:])
-    unseen -= memo.keys()
 
-    def encoded(some: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in _tokenizer(path).encode_batch_fast(some, add_special_tokens=False)]
+    def __init__(self, tokenizer_path: str, ranks_path: str | None) -> None:
+        from tokenizers import Tokenizer
 
-    some = list(unseen)
-    for at in range(0, len(some), 4096):
-        memo.update(zip(some[at : at + 4096], encoded([" " + c for c in some[at : at + 4096]]), strict=True))
-    firsts = encoded([cs[0] for cs in chunks])
-    return [first + b"".join(map(memo.__getitem__, cs[1:])) for first, cs in zip(firsts, chunks, strict=True)]
+        self.exact = Tokenizer.from_file(tokenizer_path)
+        self.fast = None
+        if ranks_path:
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks_path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def part(self, text: str) -> bytes:
+        if self.fast is None or _UNUSUAL.search(text) or SPECIAL in text:
+            return np.asarray(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if len(text) <= CHARS_AT_ONCE:
+            return self.part(text)
+        parts, at = [], 0
+        while at < len(text):
+            cut = _CUT.search(text, at + CHARS_AT_ONCE) if at + CHARS_AT_ONCE < len(text) else None
+            end = cut.start() if cut else len(text)
+            parts.append(self.part(text[at:end]))
+            at = end
+        return b"".join(parts)
+
+
+def _encoder(tokenizer_path: str, ranks_path: str | None) -> Encoder:
+    """One for each worker process; its tables take some tens of MB."""
+    key = (tokenizer_path, ranks_path)
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 def cut_lengths(n: int, max_tokens: int) -> list[int]:
@@ -86,6 +106,7 @@ def cut_lengths(n: int, max_tokens: int) -> list[int]:
 def tokenize_pieces(
     docs: DataFrame,
     tokenizer_path: str | None = None,
+    ranks_path: str | None = None,
     max_tokens: int = MAX_TOKENS,
     end_id: int = END_OF_DOCUMENT,
     id_col: str = "doc_id",
@@ -94,9 +115,9 @@ def tokenize_pieces(
 ) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32[, ids]) of every document.
 
-    Null and empty texts have the end token alone; a repeated row is a document of its own; other columns are ignored.
+    Ids are those of the file ``tokenizer_path``; see ``Encoder``. Null and empty texts have the end token alone; a repeated row is a document of its own; other columns are ignored.
     """
-    path = tokenizer_path or default_tokenizer_path()
+    paths = (tokenizer_path, ranks_path) if tokenizer_path else (default_tokenizer_path(), default_ranks_path())
     id_type = docs.schema[id_col].dataType
     fields = [
         T.StructField("doc_id", id_type),
@@ -107,21 +128,19 @@ def tokenize_pieces(
     ] + ([T.StructField("ids", T.ArrayType(T.LongType()))] if keep_ids else [])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, end = _memo.setdefault(path, {}), np.asarray([end_id], dtype="<u4").tobytes()
+        encoder, end = _encoder(*paths), np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             at = 0
             while at < len(texts):
                 upto, size = at, 0
                 while upto < len(texts) and (upto == at or size < 4_000_000):  # very long texts go alone
-                    size += len(texts[upto].as_py() or "") if texts[upto].is_valid else 0
+                    size += sizes[upto]
                     upto += 1
-                if len(memo) > MEMO_CHUNKS:
-                    memo.clear()
                 rows, n, start, length, crc, kept = [], [], [], [], [], []
-                encoded = encode_texts((t or "" for t in texts.slice(at, upto - at).to_pylist()), path, memo)
-                for i, raw in enumerate(encoded):
-                    raw += end
+                for i, text in enumerate(texts.slice(at, upto - at).to_pylist()):
+                    raw = encoder.encode(text or "") + end
                     done = 0
                     for k, take in enumerate(cut_lengths(len(raw) // 4, max_tokens)):
                         part = raw[4 * done : 4 * (done + take)]
@@ -226,9 +245,9 @@ def pack_pieces(pieces: DataFrame, max_tokens: int = MAX_TOKENS, pieces_per_shar
     return packed.unionByName(full)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, max_tokens: int = MAX_TOKENS, end_id: int = END_OF_DOCUMENT, **columns) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, ranks_path: str | None = None, max_tokens: int = MAX_TOKENS, **columns) -> DataFrame:
     """Tokenize and pack: one row for each piece with its sequence and offset; an empty table gives no rows."""
-    pieces = materialize(tokenize_pieces(docs, tokenizer_path, max_tokens, end_id, **columns), "pieces")
+    pieces = materialize(tokenize_pieces(docs, tokenizer_path, ranks_path, max_tokens, **columns), "pieces")
     return pack_pieces(pieces, max_tokens)
 
 
