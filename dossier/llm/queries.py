@@ -5,6 +5,7 @@ from __future__ import annotations
 from dossier.llm.packing import op3_packing
 from dossier.llm.pii import op10_pii
 from dossier.llm.quality import op1_quality
+from dossier.llm.quality_rules import op9_quality_rules
 from dossier.llm.secret_scan import op6_secrets
 from dossier.llm.simhash import op5_simhash
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
     "op6_secrets": op6_secrets,
+    "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
 }
 
