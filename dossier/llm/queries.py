@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dossier.llm.decontaminate import op7_decontamination
 from dossier.llm.packing import op3_packing
 from dossier.llm.pii import op10_pii
 from dossier.llm.quality import op1_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
     "op6_secrets": op6_secrets,
+    "op7_decontamination": op7_decontamination,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
 }
