@@ -9,9 +9,11 @@ from dossier.llm.quality import op1_quality
 from dossier.llm.quality_rules import op9_quality_rules
 from dossier.llm.secret_scan import op6_secrets
 from dossier.llm.simhash import op5_simhash
+from dossier.llm.url_filter import op2_url_filter
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_url_filter": op2_url_filter,
     "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
     "op6_secrets": op6_secrets,
