@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from dossier.llm import licenses
 from dossier.llm.decontaminate import op7_decontamination
+from dossier.llm.licenses import op8_license_scan
 from dossier.llm.packing import op3_packing
 from dossier.llm.pii import op10_pii
 from dossier.llm.quality import op1_quality
@@ -18,8 +20,9 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_secrets": op6_secrets,
     "op7_decontamination": op7_decontamination,
+    "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_license_scan": licenses.sql()}
