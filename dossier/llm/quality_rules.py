@@ -109,15 +109,13 @@ def fit_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smo
     rows = grams.select("t", F.explode(ngram_buckets(F.col("w"), buckets)).alias("bucket"))
     counts = materialize(rows.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target")), "counts")
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0)
-    total = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raws"), F.coalesce(F.sum("target"), F.lit(0)).alias("targets"))
+    totals = {c: F.greatest(counts.agg(F.coalesce(F.sum(c), F.lit(0))).scalar(), F.lit(0)) for c in ("raw", "target")}  # one row each
 
-    def share(count: str, of: str) -> Column:
-        added = F.greatest(F.col(of), F.lit(1)) * (smoothing / buckets)
-        return (F.col(count) + added) / (F.greatest(F.col(of), F.lit(1)) * (1 + smoothing))
+    def share(c: str) -> Column:
+        n = F.greatest(totals[c], F.lit(1))
+        return (F.col(c) + n * (smoothing / buckets)) / (n * (1 + smoothing))
 
-    weight = F.when(F.col("targets") == 0, F.lit(0.0)).otherwise(F.log(share("target", "targets") / share("raw", "raws")))
-    # one row of totals joins by a constant
-    weighted = every.withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one").select("bucket", weight.alias("weight"))
+    weighted = every.select("bucket", F.when(totals["target"] == 0, F.lit(0.0)).otherwise(F.log(share("target") / share("raw"))).alias("weight"))
     return weighted.groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "weight"))), lambda x: x["weight"]).alias("weights"))
 
 

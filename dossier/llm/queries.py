@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dossier.llm import licenses
+from dossier.llm import licenses, quotes
 from dossier.llm.decontaminate import op7_decontamination
 from dossier.llm.licenses import op8_license_scan
 from dossier.llm.packing import op3_packing
 from dossier.llm.pii import op10_pii
 from dossier.llm.quality import op1_quality
 from dossier.llm.quality_rules import op9_quality_rules
+from dossier.llm.quotes import op4_quotation_linking
 from dossier.llm.secret_scan import op6_secrets
 from dossier.llm.simhash import op5_simhash
 from dossier.llm.url_filter import op2_url_filter
@@ -17,6 +18,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_url_filter": op2_url_filter,
     "op3_packing": op3_packing,
+    "op4_quotation_linking": op4_quotation_linking,
     "op5_simhash": op5_simhash,
     "op6_secrets": op6_secrets,
     "op7_decontamination": op7_decontamination,
@@ -25,4 +27,4 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_license_scan": licenses.sql()}
+ORACLE_SQL: dict[str, str] = {"op4_quotation_linking": quotes.SQL, "op8_license_scan": licenses.sql()}
