@@ -114,7 +114,7 @@ def _cleared(segment: Column, width: int, number: int) -> Column:
 def links(distinct: DataFrame, n_words: int, segment_bits: int, radius: int) -> DataFrame:
     """Rows (a, b) of ``distinct`` (key, f0, ...; one row for each fingerprint) within ``radius`` of each other.
 
-    With more than radius / 2 segments no pair is lost. With fewer or shorter segments than that (the pipeline's stage)
+    Segments have 32 bits at most. With more than radius / 2 segments no pair is lost. With fewer or shorter segments than that (the pipeline's stage)
     a pair is found if any segment differs by at most one bit.
     """
     cols = ["key", *(f"f{k}" for k in range(n_words))]
@@ -140,7 +140,7 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3, radius: int = 2,
     """
     prints = materialize(fingerprints(docs, shingle_words, 1, id_col, text_col), "fingerprints")
     distinct = materialize(prints.groupBy("f0").agg(F.min("id").alias("least")), "distinct")
-    pairs = links(distinct.select(F.col("f0").alias("key"), "f0"), 1, 64 // (radius // 2 + 1), radius)
+    pairs = links(distinct.select(F.col("f0").alias("key"), "f0"), 1, 64 // max(2, radius // 2 + 1), radius)
     roots = connected_components(pairs)
     joined = distinct.join(roots, F.col("f0") == F.col("node"), "left").select("f0", "least", F.coalesce("root", "f0").alias("root"))
     joined = materialize(joined, "roots")
