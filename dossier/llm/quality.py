@@ -136,7 +136,8 @@ def score_column(model: Discriminant, x: str) -> Column:
     def score(values: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.stack(values.to_numpy()).astype(float)) if len(values) else [], dtype=float)
 
-    return score(F.col(x))
+    # a filter on the score must not be moved below the statistics: it would work them out once for each use
+    return score.asNondeterministic()(F.col(x))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -172,7 +173,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     x = scratch_name(docs, "x")
     measured = statistics(docs, F.col(text_col), x)
     model = fit_on(measured, labels, id_col, x)
-    return measured.filter(score_column(model, x) >= threshold).select(*docs.columns)
+    score = scratch_name(docs, "score")
+    return measured.withColumn(score, score_column(model, x)).filter(F.col(score) >= threshold).select(*docs.columns)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
