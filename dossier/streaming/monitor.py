@@ -82,7 +82,7 @@ def login_lockout(attempts: DataFrame, minutes: int = 15, limit: int = 5, late:
         state.update((started, failures))
         state.setTimeoutTimestamp(max(int((rows[-1][0] + window) * 1000), state.getCurrentWatermarkMs() + 1))
         if locks:
-            first = [pd.Timestamp(a, unit="s") for a, _ in locks]
+            first = [pd.Timestamp(round(a * 1e6), unit="us") for a, _ in locks]
             yield pd.DataFrame({"user_id": key[0], "failures": [n for _, n in locks], "first_failure": first, "locked_until": [a + pd.Timedelta(minutes=minutes) for a in first]})
 
     return attempts.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, LOCKOUT, LOCK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
