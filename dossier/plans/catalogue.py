@@ -11,7 +11,7 @@ from dossier.operators import cross_document, operations, risk, similarity, vali
 from dossier.plans.tables import cases, documents, lines, plain_lines
 from dossier.storage import read_table
 
-TODAY, CUTOFF = "1998-01-01 00:00:00", "1994-01-01 00:00:00"
+TODAY, CUTOFF = "1998-01-01 00:00:00", "1997-01-01 00:00:00"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 

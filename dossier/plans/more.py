@@ -15,6 +15,12 @@ from dossier.storage import read_table
 from dossier.streaming import monitor
 
 
+def streamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = read_table(spark, sf_dir, "orders").schema
+    orders = spark.readStream.schema(schema).parquet(f"{sf_dir}/order[s].parquet")
+    return orders.select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("document_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").cast("timestamp").alias("document_date"))
+
+
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = read_table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/event[s].parquet")
@@ -152,3 +158,30 @@ def stream_login_lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors as failures and all else as neither; 3 in a day lock."""
     attempts = streamed(spark, sf_dir).filter("event_type IN ('error', 'purchase')").select("user_id", "ts", (F.col("event_type") == "error").alias("failed"))
     return monitor.run_to_table(monitor.login_lockout(attempts, 24 * 60, 3, "40 days"), "lockout", "append")
+
+
+@register(
+    """WITH w AS (SELECT event_type, make_timestamp((CAST(floor(epoch(ts) / 900) AS BIGINT) + k) * 900 * 1000000) AS window_end FROM events, (SELECT unnest(range(1, 5)) AS k))
+SELECT event_type, window_end, count(*) AS used, greatest(count(*) - 20, 0) AS over FROM w GROUP BY 1, 2"""
+)
+def stream_rate_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitor.run_to_table(monitor.rate_usage(streamed(spark, sf_dir), 3600, 20), "rate")
+
+
+@register("SELECT o_custkey AS case_id, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_terminal FROM orders GROUP BY 1 HAVING n = n_terminal AND n >= 2")
+def stream_case_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitor.run_to_table(monitor.case_ready(streamed_documents(spark, sf_dir)), "ready")
+
+
+@register("SELECT o_orderkey AS document_id, o_orderstatus AS status FROM orders WHERE o_orderstatus <> 'F' AND o_orderdate < TIMESTAMP '2000-01-01 00:00:00' - INTERVAL 30 DAYS")
+def stream_stuck_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stuck = monitor.stuck_documents(streamed_documents(spark, sf_dir), "2000-01-01 00:00:00", 30)
+    return monitor.run_to_table(stuck.select("document_id", "status"), "stuck", "append")
+
+
+@register(
+    """SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS came, count(*) FILTER (WHERE event_type = 'purchase') AS ended,
+greatest(count(*) FILTER (WHERE event_type = 'click') - count(*) FILTER (WHERE event_type = 'purchase'), 0) AS waiting FROM events GROUP BY 1"""
+)
+def stream_queue_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitor.run_to_table(monitor.queue_depth(streamed(spark, sf_dir)), "depth")

@@ -106,3 +106,20 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "complete", limit_s:
     if error := query.exception():
         raise error
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def case_ready(documents: DataFrame, least: int = 2) -> DataFrame:
+    """Cases of which every document that has come is terminal, and there are ``least``; state is two numbers a case."""
+    n = documents.groupBy("case_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "F").alias("n_terminal"))
+    return n.filter((F.col("n") == F.col("n_terminal")) & (F.col("n") >= least))
+
+
+def stuck_documents(documents: DataFrame, now: str, days: int) -> DataFrame:
+    """Documents that are not terminal and older than ``days`` at ``now``; no state."""
+    return documents.filter((F.col("status") != "F") & (F.col("document_date") < F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS")))
+
+
+def queue_depth(events: DataFrame) -> DataFrame:
+    """Per user the tasks that came and those that ended, and how many wait; state is two numbers a user."""
+    n = events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("came"), F.count_if(F.col("event_type") == "purchase").alias("ended"))
+    return n.withColumn("waiting", F.greatest(F.col("came") - F.col("ended"), F.lit(0)))
