@@ -117,7 +117,7 @@ def check_coverage(cases: DataFrame, checks: DataFrame, kinds: DataFrame) -> Dat
 
 def case_transition(changes: DataFrame, allowed: DataFrame) -> DataFrame:
     """Each change (key, from_status, to_status) with valid true or false by the table of allowed transitions."""
-    return changes.join(F.broadcast(allowed.withColumn("valid", F.lit(True))), ["from_status", "to_status"], "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
+    return changes.join(allowed.withColumn("valid", F.lit(True)), ["from_status", "to_status"], "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
 
 
 def natural_key(text: Column, width: int = 12) -> Column:

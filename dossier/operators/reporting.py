@@ -21,7 +21,7 @@ def check_summary(sub_checks: DataFrame) -> DataFrame:
 def reason_lines(scores: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """Rows (case_id, line_no, rule_id[, title]): one line for each fired rule, heaviest first, numbered from 1."""
     lines = scores.filter("reasons <> ''").select("case_id", F.posexplode(F.split("reasons", ";")).alias("p", "rule_id")).select("case_id", (F.col("p") + 1).alias("line_no"), "rule_id")
-    return lines if titles is None else lines.join(F.broadcast(titles), "rule_id", "left")
+    return lines if titles is None else lines.join(titles, "rule_id", "left")
 
 
 def pipeline_status(cases: DataFrame, documents: DataFrame, required: list[str]) -> DataFrame:

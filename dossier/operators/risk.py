@@ -17,13 +17,13 @@ def rule_current(rules: DataFrame) -> DataFrame:
 def rule_hits(sub_checks: DataFrame, rules: DataFrame) -> DataFrame:
     """Rows (company_id, case_id, rule_id, weight, n_documents): active rules (rule_id, sub_check, status, weight) that
     the sub-checks (company_id, case_id, document_id, sub_check, status) fire."""
-    fired = sub_checks.join(F.broadcast(rules), ["sub_check", "status"])
+    fired = sub_checks.join(rules, ["sub_check", "status"])
     return fired.groupBy("company_id", "case_id", "rule_id", "weight").agg(F.countDistinct("document_id").alias("n_documents"))
 
 
 def unmatched_findings(sub_checks: DataFrame, rules: DataFrame) -> DataFrame:
     """Flagged sub-checks that no rule, active or not, speaks of."""
-    return sub_checks.filter("status = 'flag'").join(F.broadcast(rules.select("sub_check").distinct()), "sub_check", "left_anti")
+    return sub_checks.filter("status = 'flag'").join(rules.select("sub_check").distinct(), "sub_check", "left_anti")
 
 
 def tier_of(score: Column, medium: Column, high: Column) -> Column:
@@ -47,7 +47,7 @@ def risk_score(hits: DataFrame, cases: DataFrame, settings: DataFrame | None = N
     if settings is None:
         limits = {"medium_threshold": F.lit(MEDIUM), "high_threshold": F.lit(HIGH), "metadata_score_cap": F.lit(METADATA_CAP)}
     else:
-        found = found.join(F.broadcast(settings), "company_id", "left")
+        found = found.join(settings, "company_id", "left")
         limits = {c: F.coalesce(F.col(c), F.lit(d)) for c, d in (("medium_threshold", MEDIUM), ("high_threshold", HIGH), ("metadata_score_cap", METADATA_CAP))}
     raw = F.coalesce("plain", F.lit(0.0)) + F.least(F.coalesce("capped", F.lit(0.0)), limits["metadata_score_cap"].cast("double"))
     score = F.greatest(F.lit(0), F.least(F.lit(100), F.bround(raw, 0).cast("int")))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.operators import operations, reporting, risk
+from dossier.functions import amounts
+from dossier.operators import metadata, operations, reporting, risk, validation
 from dossier.plans.catalogue import _CHECKS, _SCORE, _TIER, checks, register, rules
 from dossier.plans.tables import cases, documents
 from dossier.storage import read_table
@@ -126,3 +127,51 @@ def bulk_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 def serious_undecided_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     serious = F.count_if((F.col("status") == "flag") & (F.col("sub_check") == "line_items_sum"))
     return checks(spark, sf_dir).groupBy("case_id").agg(serious.alias("n_serious")).filter("n_serious > 0")
+
+
+@register("SELECT o_orderkey AS document_id, CAST(floor(o_totalprice) AS BIGINT) AS amount, 'pass' AS status FROM orders")
+def chk_amount_in_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's total written in words, read again and held against the total."""
+    whole = F.floor("total_amount").cast("long")
+    read = documents(spark, sf_dir).select("document_id", whole.alias("whole"), amounts.amount_in_words(F.concat(amounts.words_of_amount(whole), F.lit(" dirhams only"))).alias("amount"))
+    return read.select("document_id", "amount", validation.status(F.col("amount") != F.col("whole"), F.col("amount").isNotNull()).alias("status"))
+
+
+@register(
+    """WITH f AS (SELECT o_orderkey AS document_id, o_orderpriority AS producer, o_orderdate AS created, o_orderstatus = 'F' AS lin, max(l_shipdate) AS modified, min(l_shipdate) AS xmp_modified, max(l_receipt) AS last_history, count(l_linenumber) AS sections
+  FROM orders LEFT JOIN (SELECT *, l_shipdate AS l_receipt FROM lineitem) ON l_orderkey = o_orderkey GROUP BY ALL),
+r AS (SELECT *, epoch(modified) - epoch(created) AS gap, abs(epoch(modified) - epoch(xmp_modified)) AS xmp_gap, sections - CASE WHEN lin THEN 2 ELSE 1 END AS revisions FROM f)
+SELECT document_id, 'info_xmp_mod_date_mismatch' AS finding, 'high' AS severity FROM r WHERE xmp_gap > 60
+UNION ALL SELECT document_id, 'mod_date_after_creation_date', 'high' FROM r WHERE gap > 1
+UNION ALL SELECT document_id, 'incremental_update_single', 'medium' FROM r WHERE revisions = 1
+UNION ALL SELECT document_id, 'incremental_update_multiple', 'high' FROM r WHERE revisions > 1
+UNION ALL SELECT document_id, 'history_absent_despite_revisions', 'medium' FROM r WHERE revisions > 0"""
+)
+def metadata_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as files: their lines are revisions, the first and last shipping dates the two modification dates."""
+    li = read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("document_id")).agg(F.max("l_shipdate").alias("modified"), F.min("l_shipdate").alias("xmp_modified"), F.count("*").alias("xref_sections"))
+    none = lambda kind: F.lit(None).cast(kind)
+    facts = documents(spark, sf_dir).join(li, "document_id", "left").select(
+        "document_id",
+        F.lit(True).alias("readable"),
+        F.col("document_type").alias("producer"),
+        none("string").alias("creator"),
+        none("string").alias("xmp_producer"),
+        F.col("document_date").alias("created"),
+        "modified",
+        none("timestamp").alias("xmp_created"),
+        "xmp_modified",
+        F.col("modified").alias("last_history"),
+        F.lit(0).alias("n_history"),
+        F.coalesce("xref_sections", F.lit(0)).alias("xref_sections"),
+        (F.col("status") == "F").alias("is_linearized"),
+        F.lit(0).alias("orphans"),
+        F.lit(False).alias("risky_action"),
+    )
+    return metadata.metadata_findings(facts)
+
+
+@register("SELECT c_custkey AS case_id, CASE WHEN regexp_matches(c_name, '^[A-Za-z][A-Za-z0-9#/-]{3,30}$') AND regexp_matches(c_name, '[0-9]') THEN 'pass' ELSE 'flag' END AS status FROM customer")
+def chk_reference_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = F.col("case_name").rlike("^[A-Za-z][A-Za-z0-9#/-]{3,30}$") & F.col("case_name").rlike("[0-9]")
+    return cases(spark, sf_dir).select("case_id", validation.status(~good).alias("status"))

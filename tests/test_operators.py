@@ -128,3 +128,32 @@ def test_natural_key(spark):
 def test_lockout_windows_are_anchored():
     locks, started, n = anchored_failures([(0, True), (10, True), (20, False), (30, True), (40, True), (95, True), (96, True), (97, True)], 0.0, 0, 60, 3)
     assert locks == [(95, 3)] and n == 0
+
+
+def test_amount_in_words(spark):
+    from dossier.functions.amounts import amount_in_words
+
+    cases = {"TWENTY THOUSAND FIVE HUNDRED AED ONLY": 20500, "one hundred and five": 105, "two lakh": 200000, "Nine": 9, "twenty one million": 21000000, "five apples": None, "5 hundred": None, "": None, None: None, "zero": 0}
+    assert column(spark, amount_in_words, list(cases)) == list(cases.values())
+
+
+def test_metadata_findings(spark):
+    from dossier.operators.metadata import metadata_findings
+
+    names = "document_id int, readable boolean, producer string, creator string, xmp_producer string, created timestamp, modified timestamp, xmp_created timestamp, xmp_modified timestamp, last_history timestamp, n_history int, xref_sections int, is_linearized boolean, orphans int, risky_action boolean"
+    at = datetime.datetime(2024, 1, 1, 10)
+    hour = datetime.timedelta(hours=1)
+    rows = [
+        (1, True, "Adobe Photoshop 25", None, "Other", at, at + hour, at, at, at + 2 * hour, 1, 3, False, 2, True),
+        (2, True, "Scanner", None, "Scanner", at, at, at, at, None, None, 2, True, 0, False),
+        (3, True, None, None, None, None, None, None, None, None, None, None, None, None, None),
+        (4, False, None, None, None, at, None, None, None, None, None, None, None, None, None),
+    ]
+    found = {}
+    for r in metadata_findings(spark.createDataFrame(rows, names)).collect():
+        found.setdefault(r["document_id"], set()).add(r["finding"])
+    assert found == {
+        1: {"editing_software_detected", "info_xmp_mod_date_mismatch", "info_xmp_producer_mismatch", "mod_date_after_creation_date", "incremental_update_multiple", "history_edit_after_final_date", "history_shorter_than_revisions", "orphaned_objects", "javascript_or_openaction"},
+        3: {"metadata_entirely_stripped"},
+        4: {"pdf_unreadable"},
+    }
