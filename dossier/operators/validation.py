@@ -70,3 +70,34 @@ def sub_checks(documents: DataFrame, checked: dict[str, DataFrame]) -> DataFrame
         rows = found.select("document_id", F.lit(name).alias("sub_check"), "status")
         out = rows if out is None else out.unionByName(rows)
     return documents.select("company_id", "case_id", "document_id").join(out, "document_id")
+
+
+def document_checks(documents: DataFrame, lines: DataFrame, today: str) -> DataFrame:
+    """Five checks of every document in one pass over the lines: rows (document_id, sub_check, status).
+
+    ``lines`` (document_id, quantity, unit_price, discount, total, tax_rate, line_date) are aggregated once for all
+    measures, and the result meets ``documents`` (document_id, total_amount, document_date) in one join. A check that a
+    document has no lines for gives no row, as the single checks do.
+    """
+    off = F.abs(F.col("quantity") * F.col("unit_price") - F.coalesce("discount", F.lit(0.0)) - F.col("total"))
+    wrong = F.coalesce(off > 0.02 + 0.005 * F.col("quantity") + SLACK, F.lit(False))
+    measures = lines.groupBy("document_id").agg(
+        F.count("*").alias("n"),
+        F.count("unit_price").alias("n_priced"),
+        F.count_if(wrong).alias("n_wrong"),
+        F.sum(F.col("total").cast("decimal(18,4)")).cast("double").alias("line_sum"),
+        F.min("tax_rate").alias("low_rate"),
+        F.max("tax_rate").alias("top_rate"),
+        F.min("line_date").alias("first_date"),
+    )
+    d = documents.select("document_id", "total_amount", "document_date").join(measures, "document_id", "left")
+    apart = F.abs(F.col("line_sum") - F.col("total_amount"))
+    checks = {
+        "line_item_arithmetic": F.when(F.col("n_priced") > 0, status(F.col("n_wrong") > 0)),
+        "line_items_sum": status(apart > rounding_allowance(F.col("n")), apart.isNotNull()),
+        "date_in_future": status(F.col("document_date") > F.lit(today).cast("timestamp"), F.col("document_date").isNotNull()),
+        "date_sequence": status(F.col("first_date") < F.col("document_date"), F.col("first_date").isNotNull()),
+        "tax_rate": F.when(F.col("n") > 0, status(F.col("low_rate") < F.col("top_rate"))),
+    }
+    rows = F.array(*(F.struct(F.lit(k).alias("sub_check"), c.alias("status")) for k, c in checks.items()))
+    return d.select("document_id", F.explode(rows).alias("c")).select("document_id", "c.sub_check", "c.status").filter("status IS NOT NULL")

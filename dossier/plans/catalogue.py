@@ -46,19 +46,10 @@ def rules(spark: SparkSession) -> DataFrame:
 
 
 def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, li = documents(spark, sf_dir), lines(spark, sf_dir)
-    owned = docs.join(cases(spark, sf_dir).select("company_id", "case_id"), "case_id")
-    dated = docs.select("document_id", "document_date").join(plain_lines(spark, sf_dir).select("document_id", "line_date"), "document_id", "left")
-    return validation.sub_checks(
-        owned,
-        {
-            "line_item_arithmetic": validation.chk_line_item_arithmetic(li),
-            "line_items_sum": validation.chk_line_items_sum(docs, plain_lines(spark, sf_dir)),
-            "date_in_future": validation.chk_date_in_future(docs, TODAY),
-            "date_sequence": validation.chk_date_sequence(dated),
-            "tax_rate": validation.chk_tax_rate(plain_lines(spark, sf_dir)),
-        },
-    )
+    docs = documents(spark, sf_dir)
+    found = validation.document_checks(docs, lines(spark, sf_dir, "left"), TODAY)
+    owned = docs.join(cases(spark, sf_dir).select("company_id", "case_id"), "case_id").select("company_id", "case_id", "document_id")
+    return owned.join(found, "document_id")
 
 
 _ARITHMETIC = """SELECT l_orderkey AS document_id, count(*) AS n_lines,

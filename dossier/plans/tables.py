@@ -31,9 +31,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
     li, p = read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "part")
-    return li.join(p.select("p_partkey", "p_retailprice"), li["l_partkey"] == p["p_partkey"]).select(
+    return li.join(p.select("p_partkey", "p_retailprice"), li["l_partkey"] == p["p_partkey"], how).select(
         F.col("l_orderkey").alias("document_id"),
         F.col("l_linenumber").alias("line_no"),
         F.col("l_quantity").alias("quantity"),
