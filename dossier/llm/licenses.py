@@ -93,27 +93,41 @@ COPYRIGHT_LINE = r"(?m)^[^\n]{0,20}(copyright|\(c\)|©)[^\n]*(19|20)[0-9][0-9][^
 PUNCTUATION = r"[^\p{L}\p{N}]+"
 
 
-def canonical(text: Column, spellings: tuple[tuple[str, str], ...] = SPELLINGS) -> Column:
-    """Canonical form of a text: words in lower case, one space between and around them; empty if it has none.
+def canonical_lines(text: Column) -> Column:
+    """The lines of a text in lower case (A-Z only), without copyright lines, words one space apart; empty ones stay.
 
-    Only A-Z change case. A copyright line begins with a copyright sign or word within 20 characters and names a year.
+    A copyright line has a copyright sign or word within its first 20 characters and names a year.
     """
-    found = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    found = F.when(found.rlike("copyright|©|\\(c\\)|all rights"), F.regexp_replace(found, COPYRIGHT_LINE, "")).otherwise(found)
-    found = F.regexp_replace(F.concat(F.lit(" "), found, F.lit(" ")), PUNCTUATION, " ")
+
+    def line(x: Column) -> Column:
+        return F.trim(F.regexp_replace(F.regexp_replace(x, COPYRIGHT_LINE, ""), PUNCTUATION, " "))
+
+    return F.transform(F.split(F.translate(text, UPPER, LOWER), "\n"), line)
+
+
+def one_spelling(form: Column, spellings: tuple[tuple[str, str], ...] = SPELLINGS) -> Column:
+    """A canonical form, with a space around it, in which equivalent spellings are one; null for a form of no words."""
+    found = form
     for old, new in spellings:
         found = F.replace(found, F.lit(f" {old} "), F.lit(f" {new} "))
-    return found
+    any_old = r"\x20(?:" + "|".join(old for old, _ in spellings) + r")\x20"
+    return F.when(form.rlike(any_old), found).when(form != "  ", form)
 
 
-def digest_of(text: Column) -> Column:
-    form = canonical(text)
-    return F.when(F.trim(form) != "", F.sha2(form, 256))
+def with_digests(df: DataFrame, text: str) -> DataFrame:
+    """One row for a text (at = 0) and each of its lines (at from 1), with ``digest``: the SHA-256 of the canonical
+    form, null if there are no words. The whole text is its lines' forms joined, so every text is worked over once."""
+    rest = [c for c in df.columns if c != text]
+    lines = df.select(*rest, canonical_lines(F.coalesce(F.col(text), F.lit(""))).alias("lines"))
+    whole = F.array_join(F.filter("lines", lambda x: x != ""), " ")
+    parts = lines.select(*rest, F.posexplode(F.concat(F.array(whole), F.col("lines"))).alias("at", "part"))
+    forms = parts.select(*rest, "at", one_spelling(F.concat(F.lit(" "), "part", F.lit(" "))).alias("form"))
+    return forms.select(*rest, "at", F.sha2("form", 256).alias("digest"))
 
 
 def known_digests(known: DataFrame) -> DataFrame:
     """Rows (digest, license) of ``known`` (license, text); texts without words go, of equal ones the first license stays."""
-    return known.select("license", digest_of(F.col("text")).alias("digest")).filter("digest IS NOT NULL AND license IS NOT NULL").groupBy("digest").agg(F.min("license").alias("license"))
+    return with_digests(known.select("license", "text"), "text").filter("at = 0 AND digest IS NOT NULL AND license IS NOT NULL").groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def built_in(spark: SparkSession) -> DataFrame:
@@ -128,11 +142,8 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     without words have a null digest and no licence. Other columns are not read.
     """
     digests = broadcast_if_small(known_digests(known))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text.alias("text"))
-    # a text of one line is looked up once as a whole and once as a line
-    parts = plain.select("row", "doc_id", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("at", "part"))
-    looked = parts.select("row", "doc_id", "at", digest_of(F.col("part")).alias("digest")).join(digests, "digest", "left")
+    plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    looked = with_digests(plain, "text").join(digests, "digest", "left")
     whole, line = F.col("at") == 0, (F.col("at") > 0) & F.col("license").isNotNull()
     found = looked.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
