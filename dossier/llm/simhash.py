@@ -111,13 +111,15 @@ def _cleared(segment: Column, width: int, number: int) -> Column:
     return F.transform(F.filter(F.sequence(F.lit(0), F.lit(width - 1)), is_set), variant)
 
 
-def links(distinct: DataFrame, n_words: int, segment_bits: int, radius: int) -> DataFrame:
+def links(distinct: DataFrame, n_words: int, segment_bits: int, radius: int, joined: str | None = None) -> DataFrame:
     """Rows (a, b) of ``distinct`` (key, f0, ...; one row for each fingerprint) within ``radius`` of each other.
 
+    Pairs with equal ``joined``, a column of what is joined already, are left out by the join itself.
+
     Segments have 32 bits at most. With more than radius / 2 segments no pair is lost. With fewer or shorter segments than that (the pipeline's stage)
     a pair is found if any segment differs by at most one bit.
     """
-    cols = ["key", *(f"f{k}" for k in range(n_words))]
+    cols = ["key", *(f"f{k}" for k in range(n_words)), *([joined] if joined else [])]
     plain, variants = [], []
     for first, width, number in segments_of(n_words, segment_bits):
         seg, tag = _segment(first, width), F.lit(number << 32)
@@ -127,10 +129,22 @@ def links(distinct: DataFrame, n_words: int, segment_bits: int, radius: int) ->
     left = distinct.select(*cols, F.explode(F.array(*plain)).alias("s")).select(F.col("s.slot").alias("slot"), *(F.col(c).alias(f"l_{c}") for c in cols))
     right = distinct.select(*cols, F.explode(F.concat(*variants)).alias("s")).select(F.col("s.slot").alias("slot"), F.col("s.whole").alias("whole"), *(F.col(c).alias(f"r_{c}") for c in cols))
     apart = sum((F.bit_count(F.col(f"l_f{k}").bitwiseXOR(F.col(f"r_f{k}"))) for k in range(n_words)), F.lit(0))
-    found = left.hint("merge").join(right, (left["slot"] == right["slot"]) & (~F.col("whole") | (F.col("l_key") < F.col("r_key"))) & (apart <= radius))
+    new = (F.col(f"l_{joined}") != F.col(f"r_{joined}")) if joined else F.lit(True)
+    found = left.hint("merge").join(right, (left["slot"] == right["slot"]) & (~F.col("whole") | (F.col("l_key") < F.col("r_key"))) & new & (apart <= radius))
     return found.select(F.col("l_key").alias("a"), F.col("r_key").alias("b"))
 
 
+def stars(distinct: DataFrame, n_words: int, segment_bits: int) -> DataFrame:
+    """Rows (a, b): every fingerprint of ``distinct`` with the first of those that have one of its segments. There are
+    no more rows than segments, however many share one."""
+    slots = []
+    for first, width, number in segments_of(n_words, segment_bits):
+        slots.append(_segment(first, width).bitwiseOR(F.lit(number << 32)))
+    plain = distinct.select("key", F.explode(F.array(*slots)).alias("slot"))
+    first = plain.groupBy("slot").agg(F.min("key").alias("a"), F.count("*").alias("n")).filter("n > 1").select("slot", "a")
+    return plain.join(first, "slot").filter("key != a").select("a", F.col("key").alias("b")).distinct()
+
+
 def simhash_components(docs: DataFrame, shingle_words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, fingerprint, component_id), one for each row of ``docs``.
 
@@ -178,6 +192,21 @@ def _shingle_hashes(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, out)
 
 
+def _shingle_sets(narrow: DataFrame, texts: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """Rows (key, hashes) of those of ``texts`` that ``pairs`` name; ``narrow`` has the rows (id, row, text)."""
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = materialize(texts.join(involved, "key", "left_semi").select("key", F.col("best.id").alias("w_id"), F.col("best.row").alias("w_row")), "wanted")
+    found = narrow.join(broadcast_if_small(wanted), F.col("id").eqNullSafe(F.col("w_id")) & (F.col("row") == F.col("w_row")))
+    return materialize(_shingle_hashes(found.select("key", "text"), size).dropDuplicates(["key"]), "shingles")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The rows (a, b) of ``pairs`` whose shingle sets have a Jaccard similarity of ``least`` or more."""
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.filter(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
 def deduplicate(
     docs: DataFrame,
     similarity: float = STAGE_SIMILARITY,
@@ -205,15 +234,17 @@ def deduplicate(
     # one row for each fingerprint; other texts that happen to have it are candidates of its first text
     leads = materialize(texts.groupBy(*words_of).agg(F.min("key").alias("key")), "leads")
     same = texts.select("key", *words_of).join(leads.withColumnRenamed("key", "lead"), words_of).filter("key != lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
-    candidates = materialize(links(leads, n_words, segment_bits, radius).union(same).distinct(), "candidates")
-    involved = candidates.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = materialize(texts.join(involved, "key", "left_semi").select("key", F.coalesce("best.id", F.lit(0)).alias("id"), "best.row"), "wanted")
-    found = narrow.withColumn("id", F.coalesce("id", F.lit(0))).join(broadcast_if_small(wanted), ["id", "row"])
-    sets = materialize(_shingle_hashes(found.select("key", "text"), verify_words).dropDuplicates(["key"]), "shingles")
-    both = candidates.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    linked = both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    roots = connected_components(linked)
+    # first a linear number of candidates, which put most of a large group together ...
+    nearest = materialize(stars(leads, n_words, segment_bits).union(same).distinct(), "candidates")
+    sets = _shingle_sets(narrow, texts, nearest, verify_words)
+    parts = connected_components(_similar(nearest, sets, similarity))
+    # ... then all pairs within the radius that are not together yet, so a large group's own pairs are never made
+    split = materialize(leads.join(parts, F.col("key") == F.col("node"), "left").select("key", *words_of, F.coalesce("root", "key").alias("part")), "parts")
+    others = materialize(links(split, n_words, segment_bits, radius, "part").distinct(), "candidates")
+    sets = sets.union(_shingle_sets(narrow, texts.join(sets, "key", "left_anti"), others, verify_words))
+    ends = [split.select(F.col("key").alias(c), F.col("part").alias(f"part_{c}")) for c in "ab"]
+    between = _similar(others, sets, similarity).join(ends[0], "a").join(ends[1], "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
+    roots = connected_components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).union(between))
     grouped = texts.join(roots, F.col("key") == F.col("node"), "left").select("key", *words_of, "best", F.coalesce("root", "key").alias("root"))
     keep = materialize(grouped.groupBy("root").agg(F.min(F.struct("best", "key")).alias("first")).select("first.key", "first.best.id", "first.best.row"), "keep")
     # a row is told by doc_id and a hash of its text: those that go, and those that stay but are there more than once
