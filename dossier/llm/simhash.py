@@ -32,6 +32,7 @@ SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 #: Stage defaults: four words of fingerprint, twelve segments, a radius beyond which hardly a pair of 0.8 is. On 10,000
 #: documents 47 of the 48 pairs of a Jaccard similarity of 0.8 or more are found so (0.817 is missed).
+LEADERS = 4
 STAGE_WORDS, STAGE_SEGMENT_BITS, STAGE_RADIUS, STAGE_SIMILARITY = 4, 22, 42, 0.8
 
 
@@ -89,12 +90,12 @@ def segments_of(n_words: int, segment_bits: int) -> list[tuple[int, int, int]]:
     return [(a, b - a, i) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
 
 
-def _segment(first: int, width: int) -> Column:
+def _segment(first: int, width: int, side: str = "") -> Column:
     """The bits first .. first + width of the words f0, f1, ... (bit 0 is the lowest of f0) as a long."""
     word, shift = divmod(first, 64)
-    low = F.shiftrightunsigned(F.col(f"f{word}"), shift)
+    low = F.shiftrightunsigned(F.col(f"{side}f{word}"), shift)
     if shift + width > 64:
-        low = low.bitwiseOR(F.shiftleft(F.col(f"f{word + 1}"), 64 - shift))
+        low = low.bitwiseOR(F.shiftleft(F.col(f"{side}f{word + 1}"), 64 - shift))
     return low.bitwiseAND(F.lit((1 << width) - 1))
 
 
@@ -130,19 +131,27 @@ def links(distinct: DataFrame, n_words: int, segment_bits: int, radius: int, joi
     right = distinct.select(*cols, F.explode(F.concat(*variants)).alias("s")).select(F.col("s.slot").alias("slot"), F.col("s.whole").alias("whole"), *(F.col(c).alias(f"r_{c}") for c in cols))
     apart = sum((F.bit_count(F.col(f"l_f{k}").bitwiseXOR(F.col(f"r_f{k}"))) for k in range(n_words)), F.lit(0))
     new = (F.col(f"l_{joined}") != F.col(f"r_{joined}")) if joined else F.lit(True)
-    found = left.hint("merge").join(right, (left["slot"] == right["slot"]) & (~F.col("whole") | (F.col("l_key") < F.col("r_key"))) & new & (apart <= radius))
+    for first, width, number in segments_of(n_words, segment_bits)[:-1]:  # a pair is made in the first of its segments only
+        differ = _segment(first, width, "l_").bitwiseXOR(_segment(first, width, "r_"))
+        new &= (left["slot"] < F.lit(number + 1 << 32)) | (F.bit_count(differ) > 1)
+    found = left.hint("merge").join(right, (left["slot"] == right["slot"]) & (~F.col("whole") | (F.col("l_key") < F.col("r_key"))) & (apart <= radius) & new)
     return found.select(F.col("l_key").alias("a"), F.col("r_key").alias("b"))
 
 
-def stars(distinct: DataFrame, n_words: int, segment_bits: int) -> DataFrame:
-    """Rows (a, b): every fingerprint of ``distinct`` with the first of those that have one of its segments. There are
-    no more rows than segments, however many share one."""
+def stars(distinct: DataFrame, n_words: int, segment_bits: int, radius: int, leaders: int = LEADERS) -> DataFrame:
+    """Rows (a, b) within ``radius``: every fingerprint of ``distinct`` with a few of those that have one of its
+    segments, chosen by hashes. There are at most segments times leaders rows for each, however many share one."""
     slots = []
     for first, width, number in segments_of(n_words, segment_bits):
         slots.append(_segment(first, width).bitwiseOR(F.lit(number << 32)))
     plain = distinct.select("key", F.explode(F.array(*slots)).alias("slot"))
-    first = plain.groupBy("slot").agg(F.min("key").alias("a"), F.count("*").alias("n")).filter("n > 1").select("slot", "a")
-    return plain.join(first, "slot").filter("key != a").select("a", F.col("key").alias("b")).distinct()
+    chosen = plain.groupBy("slot").agg(*(F.min_by("key", F.xxhash64("key", F.lit(i))).alias(f"m{i}") for i in range(leaders)), F.count("*").alias("n")).filter("n > 1")
+    chosen = chosen.select("slot", F.array_distinct(F.array(*(f"m{i}" for i in range(leaders)))).alias("m"))
+    pairs = plain.join(chosen, "slot").select(F.explode("m").alias("a"), F.col("key").alias("b")).filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for side in "ab":
+        pairs = pairs.join(distinct.select(F.col("key").alias(side), *(F.col(f"f{k}").alias(f"{side}{k}") for k in range(n_words))), side)
+    apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(n_words)), F.lit(0))
+    return pairs.filter(apart <= radius).select("a", "b")
 
 
 def simhash_components(docs: DataFrame, shingle_words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,7 +244,7 @@ def deduplicate(
     leads = materialize(texts.groupBy(*words_of).agg(F.min("key").alias("key")), "leads")
     same = texts.select("key", *words_of).join(leads.withColumnRenamed("key", "lead"), words_of).filter("key != lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
     # first a linear number of candidates, which put most of a large group together ...
-    nearest = materialize(stars(leads, n_words, segment_bits).union(same).distinct(), "candidates")
+    nearest = materialize(stars(leads, n_words, segment_bits, radius).union(same).distinct(), "candidates")
     sets = _shingle_sets(narrow, texts, nearest, verify_words)
     parts = connected_components(_similar(nearest, sets, similarity))
     # ... then all pairs within the radius that are not together yet, so a large group's own pairs are never made
