@@ -117,3 +117,47 @@ def test_edges_of_deduplicate(edge_docs, clashing, empty_docs):
     assert simhash.deduplicate(clashing).columns == clashing.columns
     assert simhash.deduplicate(clashing).count() == 11
     assert simhash.deduplicate(empty_docs).count() == 0
+
+
+def brute_kept(rows, least=0.8):
+    """The ids that stay of (id, text) with distinct ids: the smallest of each component of pairs of ``least``."""
+    sets, root = [], {i: i for i, _ in rows}
+    for _, t in rows:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, (a, _) in enumerate(rows):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if shared >= least * (len(sets[i]) + len(sets[j]) - shared):
+                low, high = sorted((find(a), find(rows[j][0])))
+                root[high] = low
+    return {i for i in root if find(i) == i}
+
+
+def test_deduplicate_equals_brute_force_at_the_threshold(spark):
+    """Copies of 0.79 to 0.85 that differ by one block, appended, cut off or replaced."""
+    rng = random.Random(23)
+    rows = []
+    for g in range(150):
+        n = rng.choice([60, 120, 300, 600])
+        base = words(rng, n).split()
+        jaccard = rng.choice([0.79, 0.8, 0.805, 0.81, 0.82, 0.85])
+        kind = g % 3
+        if kind == 0:
+            copy = base + words(rng, round((n - 4) * (1 / jaccard - 1))).split()
+        elif kind == 1:
+            copy = base[: round((n - 4) * jaccard) + 4]
+        else:
+            k, at = max(1, round((n - 4) * (1 - jaccard) / (1 + jaccard)) - 4), rng.randrange(5, n // 2)
+            copy = base[:at] + words(rng, k).split() + base[at + k :]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+    want = brute_kept(rows)
+    assert 150 <= len(want) <= 200
+    got = {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want, (len(got), len(want))
