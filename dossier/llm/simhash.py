@@ -54,12 +54,21 @@ def shingles(words: list[bytes], size: int) -> Iterator[bytes]:
 
 def simhash(words: list[bytes], size: int, n_words: int = 1) -> list[int]:
     """Fingerprint as ``n_words`` unsigned 64-bit numbers; a bit is 1 if over half of the hashes have it."""
-    ones, total, rest = np.zeros((n_words, 64), np.int64), 0, shingles(words, size)
-    while True:
-        hashes = [xxhash.xxh64_intdigest(s, SEED) for s, _ in zip(rest, range(HASHES_AT_ONCE), strict=False)]
-        if not hashes:
+    rest = shingles(words, size)
+
+    def blocks() -> Iterator[np.ndarray]:
+        while True:
+            yield np.array([xxhash.xxh64_intdigest(s, SEED) for s, _ in zip(rest, range(HASHES_AT_ONCE), strict=False)], np.uint64)
+
+    return print_of(blocks(), n_words)
+
+
+def print_of(blocks: Iterator[np.ndarray], n_words: int) -> list[int]:
+    """The fingerprint of the hashes of ``blocks``, up to the first empty block."""
+    ones, total = np.zeros((n_words, 64), np.int64), 0
+    for h in blocks:
+        if not len(h):
             break
-        h = np.array(hashes, np.uint64)
         total += len(h)
         for k in range(n_words):
             if k:
@@ -213,9 +222,9 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def _text_prints(docs: DataFrame, shingle_words: int, n_words: int, verify_words: int, least: float) -> DataFrame:
+def _text_prints(docs: DataFrame, verify_words: int, n_words: int, least: float) -> DataFrame:
     """Rows (id, row, key, f0, ..., size, prefix, bits) of the rows (id, row, text) that have words; key is a hash of all
-    the words. size, prefix and bits are of the text's set of shingles; a task gives a text's prefix once, then null."""
+    the words. fingerprint, size, prefix and bits are of the text's set of distinct shingles; a task gives a text's prefix once, then null."""
     longs = T.ArrayType(T.LongType())
     made = [T.StructField(c, T.LongType()) for c in ("key", *(f"f{k}" for k in range(n_words)))]
     out = T.StructType([docs.schema["id"], docs.schema["row"], *made, T.StructField("size", T.IntegerType()), T.StructField("prefix", longs), T.StructField("bits", longs)])
@@ -229,10 +238,11 @@ def _text_prints(docs: DataFrame, shingle_words: int, n_words: int, verify_words
                 if words := text_words(t.as_py()):
                     rows.append(i)
                     key = signed(xxhash.xxh64_intdigest(b" ".join(words)))
-                    found.append([key, *(signed(x) for x in simhash(words, shingle_words, n_words))])
+                    hashes = shingle_set(words, verify_words)
+                    blocks = (hashes[i : i + HASHES_AT_ONCE].view(np.uint64) for i in range(0, len(hashes), HASHES_AT_ONCE))
+                    found.append([key, *(signed(x) for x in print_of(blocks, n_words))])
                     again = key in seen
                     seen.add(key)
-                    hashes = shingle_set(words, verify_words)
                     sizes.append(len(hashes))
                     prefixes.append(None if again else prefix_of(hashes, frequent, least))
                     bits.append(None if again else bitmap(hashes))
@@ -302,7 +312,6 @@ def deduplicate(
     docs: DataFrame,
     similarity: float = STAGE_SIMILARITY,
     verify_words: int = 5,
-    shingle_words: int = 3,
     n_words: int = STAGE_WORDS,
     segment_bits: int = STAGE_SEGMENT_BITS,
     radius: int = STAGE_RADIUS,
@@ -314,14 +323,14 @@ def deduplicate(
     Texts are linked if their sets of ``verify_words``-word shingles have a Jaccard similarity of ``similarity`` or
     more; every such pair is found. Fingerprints of 64 * ``n_words`` bits first put together texts within ``radius`` that
     share a segment, a few for each; prefixes of the shingle sets then give the candidates of the rest, so that no pair
-    is lost. Every candidate's similarity is computed exactly. Texts with the same words (case of
+    is lost. Fingerprints are of the distinct shingles, like the similarity. Every candidate's similarity is computed exactly. Texts with the same words (case of
     A-Z and white space apart) always are copies. Rows without words (null, empty or blank text) are no copies of each
     other and stay. Rows with a null doc_id stay only if no other row of their group has one; of rows that repeat both
     doc_id and text one stays. All columns are kept, whatever their names; an empty table gives no rows.
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     words_of = [f"f{k}" for k in range(n_words)]
-    prints = materialize(_text_prints(narrow, shingle_words, n_words, verify_words, similarity), "prints")
+    prints = materialize(_text_prints(narrow, verify_words, n_words, similarity), "prints")
     texts = materialize(prints.groupBy("key", *words_of).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")), "texts")
     # one row for each fingerprint; other texts that happen to have it are candidates of its first text
     leads = materialize(texts.groupBy(*words_of).agg(F.min("key").alias("key")), "leads")

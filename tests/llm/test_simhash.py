@@ -161,3 +161,17 @@ def test_deduplicate_equals_brute_force_at_the_threshold(spark):
     assert 150 <= len(want) <= 200
     got = {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want, (len(got), len(want))
+
+
+def test_stage_fingerprint_is_of_distinct_shingles(spark):
+    """A passage repeated many times hardly changes the set of shingles, so it hardly changes the fingerprint."""
+    rng = random.Random(29)
+    rows = []
+    for g in range(20):
+        base = words(rng, 300).split()
+        rows += [(2 * g, 1, " ".join(base)), (2 * g + 1, 1, " ".join(base[:120] + base[100:120] * 10 + base[120:]))]
+    prints = {r["id"]: r for r in simhash._text_prints(spark.createDataFrame(rows, "id long, row long, text string"), 5, 4, 0.8).collect()}
+    apart = [sum(((prints[2 * g][f"f{k}"] ^ prints[2 * g + 1][f"f{k}"]) & (2**64 - 1)).bit_count() for k in range(4)) for g in range(20)]
+    assert max(apart) <= simhash.STAGE_RADIUS, sorted(apart)
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.deduplicate(docs).collect()} == {2 * g for g in range(20)}
