@@ -332,15 +332,15 @@ def deduplicate(
     words_of = [f"f{k}" for k in range(n_words)]
     prints = materialize(_text_prints(narrow, verify_words, n_words, similarity), "prints")
     texts = materialize(prints.groupBy("key", *words_of).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")), "texts")
-    # one row for each fingerprint; other texts that happen to have it are candidates of its first text
+    # one row for each fingerprint; here other texts that happen to have it meet its first text only
     leads = materialize(texts.groupBy(*words_of).agg(F.min("key").alias("key")), "leads")
     same = texts.select("key", *words_of).join(leads.withColumnRenamed("key", "lead"), words_of).filter("key != lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
     # first a linear number of candidates, which put most of a large group together ...
     nearest = materialize(stars(leads, n_words, segment_bits, radius).union(same).distinct(), "candidates")
     sets = _shingle_sets(narrow, texts, nearest, verify_words)
     parts = connected_components(_similar(nearest, sets, similarity))
-    # ... then all that may be similar and are not together yet, so a large group's own pairs are never made
-    split = materialize(leads.join(parts, F.col("key") == F.col("node"), "left").select("key", *words_of, F.coalesce("root", "key").alias("part")), "parts")
+    # ... then all texts, leads or not, that may be similar and are not together yet, so a large group's own pairs are never made
+    split = materialize(texts.join(parts, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("part")), "parts")
     others = materialize(prefix_links(prints, split, similarity).distinct(), "candidates")
     sets = sets.union(_shingle_sets(narrow, texts.join(sets, "key", "left_anti"), others, verify_words))
     ends = [split.select(F.col("key").alias(c), F.col("part").alias(f"part_{c}")) for c in "ab"]

@@ -4,6 +4,7 @@ import collections
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
 from dossier.llm import simhash
 from dossier.llm.components import connected_components
@@ -175,3 +176,16 @@ def test_stage_fingerprint_is_of_distinct_shingles(spark):
     assert max(apart) <= simhash.STAGE_RADIUS, sorted(apart)
     docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
     assert {r["doc_id"] for r in simhash.deduplicate(docs).collect()} == {2 * g for g in range(20)}
+
+
+def test_texts_of_one_fingerprint_are_compared_with_each_other(spark, monkeypatch):
+    """Equal fingerprints of different texts: two near copies that differ from the text that leads theirs are found."""
+    rng = random.Random(31)
+    rows = []
+    for g in range(12):
+        base = words(rng, 100).split()
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join([*base[:50], "changed", *base[51:]]))]
+    real = simhash._text_prints
+    monkeypatch.setattr(simhash, "_text_prints", lambda *how: real(*how).withColumns({f"f{k}": F.lit(5).cast("long") for k in range(4)}))
+    kept = {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {2 * g for g in range(12)}, len(kept)
