@@ -1,8 +1,8 @@
 """Agreement of the documents of a case, without pairs of all documents.
 
-Sorted by amount, neighbours within tolerance agree; a larger step begins a new group. Two documents of one case differ
-exactly if some step between them is too large or adds up to more, so the groups and the steps between neighbouring
-groups say where the conflicts are in a number of rows that follows the documents.
+``amount_outliers`` says of every document how many others of its case differ from it. ``cross_document_mismatch`` is
+coarser: sorted by amount, neighbours within tolerance are one group, so small steps that add up to more than the
+tolerance stay within a group, and a case of one such group has no rows there.
 """
 
 from __future__ import annotations
@@ -35,6 +35,36 @@ def cross_document_mismatch(documents: DataFrame) -> DataFrame:
     return spread.filter("n_groups > 1").drop("n_groups")
 
 
+def _lower(values: DataFrame) -> DataFrame:
+    """Rows (case_id, x, n, nearest): of every row of ``values`` (case_id, x, n) how many lower ones differ from it, and
+    the highest. a < x differ if a < x - t(x) and a + t(a) < x; either holds for all a up to some, so the lesser counts."""
+    t = F.greatest(F.abs("x") * F.lit("0.01").cast("decimal(3,2)"), F.lit("0.01").cast("decimal(3,2)"))
+    w = W.partitionBy("case_id").orderBy("v", "late").rowsBetween(W.unboundedPreceding, 0)
+    found = []
+    for by, at in ((F.col("x"), F.col("x") - t), (F.col("x") + t, F.col("x"))):
+        wide = "decimal(28,6)"
+        there = values.select("case_id", by.cast(wide).alias("v"), F.lit(1).alias("late"), "n", F.col("x").alias("last"), F.lit(None).cast("decimal(18,4)").alias("x"))
+        asked = values.select("case_id", at.cast(wide).alias("v"), F.lit(0).alias("late"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("decimal(18,4)").alias("last"), "x")
+        found.append(there.union(asked).select("case_id", "x", F.sum("n").over(w).alias("n"), F.max("last").over(w).alias("nearest")).filter("x IS NOT NULL"))
+    return found[0].union(found[1]).groupBy("case_id", "x").agg(F.min(F.struct("n", "nearest")).alias("m")).select("case_id", "x", "m.n", "m.nearest")
+
+
+def amount_outliers(documents: DataFrame) -> DataFrame:
+    """Rows (case_id, document_id, amount, n_below, n_above, nearest_below, nearest_above) of the documents (case_id,
+    document_id, amount) that differ from another of their case: from how many below and above, and the nearest of them.
+
+    Every pair of a case counts, as in a self-join, but none is made. Amounts are compared to four decimals; null amounts
+    and null cases are compared with nothing. The distinct amounts of one case are sorted in one task.
+    """
+    told = documents.filter("case_id IS NOT NULL").select("case_id", "document_id", "amount", F.col("amount").cast("decimal(18,4)").alias("x")).filter("x IS NOT NULL")
+    values = told.groupBy("case_id", "x").agg(F.count("*").alias("n"))
+    below = _lower(values).select("case_id", "x", F.col("n").alias("n_below"), F.col("nearest").cast("double").alias("nearest_below"))
+    negated = _lower(values.select("case_id", (-F.col("x")).cast("decimal(18,4)").alias("x"), "n"))
+    above = negated.select("case_id", (-F.col("x")).cast("decimal(18,4)").alias("x"), F.col("n").alias("n_above"), (-F.col("nearest")).cast("double").alias("nearest_above"))
+    sides = below.join(above, ["case_id", "x"]).filter("n_below + n_above > 0")
+    return told.join(sides, ["case_id", "x"]).select("case_id", "document_id", "amount", "n_below", "n_above", "nearest_below", "nearest_above")
+
+
 def value_classes(documents: DataFrame, field: str) -> DataFrame:
     """Rows (case_id, value, n_documents, first_document, agreed): distinct values of a field within each case."""
     found = documents.filter(F.col(field).isNotNull()).groupBy("case_id", F.col(field).alias("value")).agg(F.count("*").alias("n_documents"), F.min("document_id").alias("first_document"))

@@ -171,6 +171,16 @@ def cross_document_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_document.cross_document_mismatch(documents(spark, sf_dir).withColumnRenamed("total_amount", "amount"))
 
 
+@register(
+    """WITH d AS (SELECT o_custkey AS case_id, o_orderkey AS document_id, o_totalprice AS amount, o_totalprice::DECIMAL(18,4) AS x FROM orders)
+SELECT a.case_id, a.document_id, any_value(a.amount) AS amount, count(*) FILTER (WHERE b.x < a.x) AS n_below, count(*) FILTER (WHERE b.x > a.x) AS n_above,
+max(b.x) FILTER (WHERE b.x < a.x)::DOUBLE AS nearest_below, min(b.x) FILTER (WHERE b.x > a.x)::DOUBLE AS nearest_above
+FROM d a JOIN d b ON a.case_id = b.case_id AND a.document_id <> b.document_id AND abs(a.x - b.x) > greatest(0.01 * greatest(abs(a.x), abs(b.x)), 0.01) GROUP BY 1, 2"""
+)
+def cross_document_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_document.amount_outliers(documents(spark, sf_dir).withColumnRenamed("total_amount", "amount"))
+
+
 @register(
     """SELECT o_custkey AS case_id, o_orderpriority AS value, count(*) AS n_documents, min(o_orderkey) AS first_document, count(*) OVER (PARTITION BY o_custkey) = 1 AS agreed
 FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1, 2"""

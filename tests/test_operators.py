@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +158,19 @@ def test_metadata_findings(spark):
         3: {"metadata_entirely_stripped"},
         4: {"pdf_unreadable"},
     }
+
+
+def test_amount_outliers_count_every_pair(spark):
+    from dossier.operators import cross_document
+
+    rng = random.Random(5)
+    rows = [(1, 1, 100.0), (1, 2, 100.9), (1, 3, 101.8), (2, 4, 100.0), (2, 5, 100.9), (2, 6, None), (3, 7, 99.0), (3, 8, 100.0), (3, 9, 123.0), (3, 10, 121.77)]
+    rows += [(4, 100 + i, round(rng.choice([1, -1]) * 50 * 1.004 ** rng.randrange(60), 2)) for i in range(120)] + [(5, 300 + i, i / 200) for i in range(-6, 7)]
+    got = {r["document_id"]: tuple(r)[3:] for r in cross_document.amount_outliers(spark.createDataFrame(rows, "case_id long, document_id long, amount double")).collect()}
+    want = {}
+    for c, i, x in rows:
+        far = [y for d, _, y in rows if d == c and None not in (x, y) and 100 * abs(round(10000 * x) - round(10000 * y)) > max(abs(round(10000 * x)), abs(round(10000 * y)), 10000)]
+        low, high = [y for y in far if y < x], [y for y in far if y > x]
+        if far:
+            want[i] = (len(low), len(high), max(low, default=None), min(high, default=None))
+    assert got == want and {1, 3} <= set(got) and 2 not in got
