@@ -30,13 +30,14 @@ HASHES_AT_ONCE = 65_536
 #: Odd constants that spread one shingle hash over further fingerprint words.
 SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
-#: Stage defaults: four words of fingerprint, twelve segments, a radius beyond which hardly a pair of 0.8 is. They only
-#: put most of a large group together at little cost; the exact join finds every pair of 0.8.
-LEADERS = 4
+#: The stage: fingerprints that have a plain segment are represented by so many of them in the first join, and
+#: those that have a prefix shingle by so many.
+LEADERS, STARS = 4, 2
 #: The exact join of the stage: words of a text's bitmap, shingles that are carried to make a pair once, one text in so
 #: many is read for the frequent shingles, and how many of those are kept. None of them changes which pairs are found.
 BITMAP_WORDS, HEAD, SAMPLE, FREQUENT, FREQUENT_MOST = 8, 8, 8, 3, 200_000
-STAGE_WORDS, STAGE_SEGMENT_BITS, STAGE_RADIUS, STAGE_SIMILARITY = 4, 22, 42, 0.8
+#: Stage defaults: the largest radius of which two segments guarantee one that differs in at most one bit; the similarity.
+STAGE_RADIUS, STAGE_SIMILARITY = 3, 0.8
 
 
 def text_words(text: str | None) -> list[bytes]:
@@ -148,20 +149,23 @@ def links(distinct: DataFrame, n_words: int, segment_bits: int, radius: int) ->
     return found.select(F.col("l_key").alias("a"), F.col("r_key").alias("b"))
 
 
-def stars(distinct: DataFrame, n_words: int, segment_bits: int, radius: int, leaders: int = LEADERS) -> DataFrame:
-    """Rows (a, b) within ``radius``: every fingerprint of ``distinct`` with a few of those that have one of its
-    segments, chosen by hashes. There are at most segments times leaders rows for each, however many share one."""
-    slots = []
-    for first, width, number in segments_of(n_words, segment_bits):
-        slots.append(_segment(first, width).bitwiseOR(F.lit(number << 32)))
-    plain = distinct.select("key", F.explode(F.array(*slots)).alias("slot"))
-    chosen = plain.groupBy("slot").agg(*(F.min_by("key", F.xxhash64("key", F.lit(i))).alias(f"m{i}") for i in range(leaders)), F.count("*").alias("n")).filter("n > 1")
+def stars(distinct: DataFrame, radius: int, leaders: int = LEADERS) -> DataFrame:
+    """Rows (a, b) within ``radius`` bits: every fingerprint of ``distinct`` (f0) with a few of those that one of its plain
+    or one-wildcard segments reaches.
+
+    Of the fingerprints that have a plain segment the ``leaders`` with the least hashes stand for all of them, so there are
+    at most a few rows for each fingerprint however many share a segment. The distance is tested inside the join.
+    """
+    plain, variants = [], []
+    for first, width, number in segments_of(1, 64 // max(2, radius // 2 + 1)):
+        plain.append(_segment(first, width).bitwiseOR(F.lit(number << 32)))
+        variants.append(F.concat(F.array(plain[-1]), F.transform(_cleared(_segment(first, width), width, number), lambda v: v["slot"])))
+    chosen = distinct.select("f0", F.explode(F.array(*plain)).alias("slot")).groupBy("slot").agg(*(F.min_by("f0", F.xxhash64("f0", F.lit(i))).alias(f"m{i}") for i in range(leaders)))
     chosen = chosen.select("slot", F.array_distinct(F.array(*(f"m{i}" for i in range(leaders)))).alias("m"))
-    pairs = plain.join(chosen, "slot").select(F.explode("m").alias("a"), F.col("key").alias("b")).filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    for side in "ab":
-        pairs = pairs.join(distinct.select(F.col("key").alias(side), *(F.col(f"f{k}").alias(f"{side}{k}") for k in range(n_words))), side)
-    apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(n_words)), F.lit(0))
-    return pairs.filter(apart <= radius).select("a", "b")
+    probes = distinct.select("f0", F.explode(F.concat(*variants)).alias("slot"))
+    near = F.filter("m", lambda x: (x != F.col("f0")) & (F.bit_count(x.bitwiseXOR(F.col("f0"))) <= radius))
+    met = probes.join(chosen, "slot").select("f0", near.alias("near")).filter(F.size("near") > 0)
+    return met.select(F.col("f0").alias("x"), F.explode("near").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def simhash_components(docs: DataFrame, shingle_words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,31 +257,58 @@ def _text_prints(docs: DataFrame, verify_words: int, n_words: int, least: float)
     return docs.mapInArrow(run, out)
 
 
-def prefix_links(prints: DataFrame, split: DataFrame, least: float) -> DataFrame:
-    """Rows (a, b), the candidates among the texts of ``split`` (key, part): every pair of different parts whose sets of
-    shingles have a Jaccard similarity of ``least`` or more is among them. ``prints`` is that of _text_prints.
-
-    Such sets share a shingle of their prefixes. At the first that they share, none of either set before it is shared,
-    so the rest of each must be large enough; and each bit that only one bitmap has is a shingle that is not shared.
-    """
+def prefix_slots(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (slot, key, pos) of the prefix shingles that several texts have, and rows (key, size, head, b0, ...) of these texts."""
     told = prints.filter("prefix IS NOT NULL")
     each = told.select("key", F.posexplode("prefix").alias("pos", "slot"))
-    shared = materialize(each.groupBy("slot").agg(F.count("*").alias("n")).filter("n > 1").select("slot"), "shared")
-    met = each.join(broadcast_if_small(shared), "slot", "left_semi").dropDuplicates(["slot", "key"]).join(split.select("key", "part"), "key")
-    met = materialize(met, "met")
-    several = met.groupBy("slot").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high")
-    met = materialize(met.join(broadcast_if_small(materialize(several.select("slot"), "several")), "slot", "left_semi"), "met")
+    shared = materialize(each.groupBy("slot").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low != high").select("slot"), "shared")
+    met = materialize(each.join(broadcast_if_small(shared), "slot", "left_semi").dropDuplicates(["slot", "key"]), "met")
     sets = told.join(broadcast_if_small(materialize(met.select("key").distinct(), "involved")), "key", "left_semi")
     sets = sets.select("key", "size", F.slice("prefix", 1, HEAD).alias("head"), *(F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(BITMAP_WORDS))).dropDuplicates(["key"])
-    wide = materialize(met.join(sets, "key"), "wide")
-    left, right = (wide.select("slot", *(F.col(c).alias(f"{side}_{c}") for c in wide.columns if c != "slot")) for side in "lr")
+    return met, materialize(sets, "sets")
+
+
+def _large_enough(least: float) -> tuple[Column, Column]:
+    """How many shingles the sets l and r of a pair must share, and whether their bitmaps allow for it: each bit that only
+    one of them has is a shingle that is not shared."""
     need = (F.col("l_size") + F.col("r_size")) * (least / (1 + least)) - 1e-6
-    fits = (F.col("l_key") < F.col("r_key")) & (F.col("l_part") != F.col("r_part")) & (F.least(F.col("l_size") - F.col("l_pos"), F.col("r_size") - F.col("r_pos")) >= need)
+    fits = F.lit(True)
     for one, other in ("lr", "rl"):
         alone = sum((F.bit_count(F.col(f"{one}_b{i}").bitwiseAND(F.bitwise_not(F.col(f"{other}_b{i}")))) for i in range(BITMAP_WORDS)), F.lit(0))
         fits &= F.col(f"{one}_size") - alone >= need
+    return need, fits
+
+
+def _side(df: DataFrame, side: str, *same: str) -> DataFrame:
+    return df.select(*same, *(F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in same))
+
+
+def prefix_stars(met: DataFrame, sets: DataFrame, least: float, salt: int) -> DataFrame:
+    """Rows (a, b), some of the candidates: every text with the one of each of its slots that has the least hash, so a
+    linear number. The same few texts lead most slots of a group of near copies."""
+    lead = met.groupBy("slot").agg(F.min_by("key", F.xxhash64("key", F.lit(salt))).alias("l_key"))
+    pairs = met.join(lead, "slot").filter("l_key != key").select("l_key", F.col("key").alias("r_key")).distinct()
+    for side in "lr":
+        pairs = pairs.join(_side(sets.drop("head"), side), f"{side}_key")
+    return pairs.filter(_large_enough(least)[1]).select(F.col("l_key").alias("a"), F.col("r_key").alias("b"))
+
+
+def prefix_links(met: DataFrame, sets: DataFrame, split: DataFrame, least: float) -> DataFrame:
+    """Rows (a, b), the candidates among the texts of ``split`` (key, part): every pair of different parts whose sets of
+    shingles have a Jaccard similarity of ``least`` or more is among them. ``met`` and ``sets`` are those of prefix_slots.
+
+    Such sets share a shingle of their prefixes. At the first that they share, none of either set before it is shared,
+    so the rest of each must be large enough.
+    """
+    parted = materialize(met.join(split, "key"), "met")
+    several = parted.groupBy("slot").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high")
+    parted = parted.join(broadcast_if_small(materialize(several.select("slot"), "several")), "slot", "left_semi")
+    wide = materialize(parted.join(sets, "key"), "wide")
+    need, fits = _large_enough(least)
+    fits &= (F.col("l_key") < F.col("r_key")) & (F.col("l_part") != F.col("r_part")) & (F.least(F.col("l_size") - F.col("l_pos"), F.col("r_size") - F.col("r_pos")) >= need)
     # a pair is made at the first shingle that it shares, as far as the heads tell
     fits &= F.size(F.array_intersect(F.slice("l_head", F.lit(1), F.least("l_pos", F.lit(HEAD))), F.col("r_head"))) == 0
+    left, right = _side(wide, "l", "slot"), _side(wide, "r", "slot")
     return left.hint("merge").join(right, (left["slot"] == right["slot"]) & fits).select(F.col("l_key").alias("a"), F.col("r_key").alias("b"))
 
 
@@ -312,41 +343,47 @@ def deduplicate(
     docs: DataFrame,
     similarity: float = STAGE_SIMILARITY,
     verify_words: int = 5,
-    n_words: int = STAGE_WORDS,
-    segment_bits: int = STAGE_SEGMENT_BITS,
     radius: int = STAGE_RADIUS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the smallest doc_id stays.
 
-    Texts are linked if their sets of ``verify_words``-word shingles have a Jaccard similarity of ``similarity`` or
-    more; every such pair is found. Fingerprints of 64 * ``n_words`` bits first put together texts within ``radius`` that
-    share a segment, a few for each; prefixes of the shingle sets then give the candidates of the rest, so that no pair
-    is lost. Fingerprints are of the distinct shingles, like the similarity. Every candidate's similarity is computed exactly. Texts with the same words (case of
-    A-Z and white space apart) always are copies. Rows without words (null, empty or blank text) are no copies of each
-    other and stay. Rows with a null doc_id stay only if no other row of their group has one; of rows that repeat both
-    doc_id and text one stays. All columns are kept, whatever their names; an empty table gives no rows.
+    Texts are linked if their sets of ``verify_words``-word shingles have a Jaccard similarity of ``similarity`` or more;
+    every such pair is found. The 64-bit fingerprints of these sets are joined by one-wildcard segment variants within
+    ``radius``, each with a few leaders of a segment; prefixes of the shingle sets then give the candidates among texts
+    that are not together yet, so that no pair is lost and a large group's own pairs are never made. Every candidate's
+    similarity is computed exactly. Texts with the same words (case of A-Z and white space apart) always are copies. Rows
+    without words (null, empty or blank text) are no copies of each other and stay. Rows with a null doc_id stay only if
+    no other row of their group has one; of rows that repeat both doc_id and text one stays. Of equal smallest ids with
+    different texts the row with the smaller hash of its text stays. All columns are kept, whatever their names; an empty
+    table gives no rows. A very long text costs memory in proportion to its distinct shingles.
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    words_of = [f"f{k}" for k in range(n_words)]
-    prints = materialize(_text_prints(narrow, verify_words, n_words, similarity), "prints")
-    texts = materialize(prints.groupBy("key", *words_of).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")), "texts")
-    # one row for each fingerprint; here other texts that happen to have it meet its first text only
-    leads = materialize(texts.groupBy(*words_of).agg(F.min("key").alias("key")), "leads")
-    same = texts.select("key", *words_of).join(leads.withColumnRenamed("key", "lead"), words_of).filter("key != lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
-    # first a linear number of candidates, which put most of a large group together ...
-    nearest = materialize(stars(leads, n_words, segment_bits, radius).union(same).distinct(), "candidates")
+    prints = materialize(_text_prints(narrow, verify_words, 1, similarity), "prints")
+    texts = materialize(prints.groupBy("key", "f0").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")), "texts")
+    # one row for each fingerprint, that of its first text; the others that happen to have it meet that one here
+    leads = materialize(texts.groupBy("f0").agg(F.min("key").alias("key")), "leads")
+    same = texts.select("key", "f0").join(leads.withColumnRenamed("key", "lead"), "f0").filter("key != lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
+    near = stars(leads.select("f0"), radius)
+    for side in "ab":
+        near = near.join(leads.select(F.col("f0").alias(side), F.col("key").alias(f"key_{side}")), side)
+    # first a linear number of candidates, which put the close copies of a large group together ...
+    met, carried = prefix_slots(prints)
+    near = near.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).union(same)
+    for salt in range(STARS):
+        near = near.union(prefix_stars(met, carried, similarity, salt))
+    nearest = materialize(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     sets = _shingle_sets(narrow, texts, nearest, verify_words)
     parts = connected_components(_similar(nearest, sets, similarity))
     # ... then all texts, leads or not, that may be similar and are not together yet, so a large group's own pairs are never made
     split = materialize(texts.join(parts, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("part")), "parts")
-    others = materialize(prefix_links(prints, split, similarity).distinct(), "candidates")
+    others = materialize(prefix_links(met, carried, split, similarity).distinct(), "candidates")
     sets = sets.union(_shingle_sets(narrow, texts.join(sets, "key", "left_anti"), others, verify_words))
     ends = [split.select(F.col("key").alias(c), F.col("part").alias(f"part_{c}")) for c in "ab"]
     between = _similar(others, sets, similarity).join(ends[0], "a").join(ends[1], "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
     roots = connected_components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).union(between))
-    grouped = texts.join(roots, F.col("key") == F.col("node"), "left").select("key", *words_of, "best", F.coalesce("root", "key").alias("root"))
+    grouped = texts.join(roots, F.col("key") == F.col("node"), "left").select("key", "best", F.coalesce("root", "key").alias("root"))
     keep = materialize(grouped.groupBy("root").agg(F.min(F.struct("best", "key")).alias("first")).select("first.key", "first.best.id", "first.best.row"), "keep")
     # a row is told by doc_id and a hash of its text: those that go, and those that stay but are there more than once
     marked = prints.groupBy("id", "row", "key").agg(F.count("*").alias("n")).join(keep.select("key", F.col("id").alias("k_id"), F.col("row").alias("k_row")), "key", "left")
