@@ -7,18 +7,27 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: The largest table, in rows, that is ever sent to every executor.
+#: The largest table that is ever sent to every executor, in rows.
 BROADCAST_ROWS = 200_000
+#: The largest, in bytes of its values.
+BROADCAST_BYTES = 32 << 20
+
+
+#: With it the shuffle files of a finished write go at once; nothing reads them again.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, a laptop) a folder of this machine is made and set.
+    Only where the session names none and all its tasks run on this machine a folder of this machine is made and set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="dossier-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -30,18 +39,48 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).table(df, label)
+
+
+class Scratch:
+    """Written tables of one computation, each of which is deleted when it has been used."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, list[str]] = {}
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        """``df``, written to the shared folder under ``label`` and read back."""
+        path = new_path(self.spark, label)
+        self.paths.setdefault(label, []).append(path)
+        before = self.spark.conf.get(CLEAN_SHUFFLES, "false")
+        self.spark.conf.set(CLEAN_SHUFFLES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN_SHUFFLES, before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *labels: str) -> None:
+        """Delete the tables of ``labels``; what has been derived from them must be written by now."""
+        for label in labels:
+            for path in self.paths.pop(label, ()):
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when it has at most ``max_rows`` rows; otherwise the join shuffles.
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast when it has at most ``max_rows`` rows and its values at most about ``max_bytes`` bytes;
+    otherwise the join shuffles.
 
-    Give it a materialized or otherwise cheap table: its rows are counted, up to ``max_rows`` + 1.
+    Give it a materialized or otherwise cheap table: up to ``max_rows`` + 1 of its rows are counted and measured.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    wide = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.NumericType | T.BooleanType | T.DatetimeType)]
+    size = F.lit(8 * len(df.columns)).cast("long")
+    for name in wide:
+        size += F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{name}`")))).cast("long"), F.lit(0).cast("long"))
+    n, many = df.select(size.alias("size")).limit(max_rows + 1).agg(F.count("*"), F.sum("size")).first()
+    return F.broadcast(df) if n <= max_rows and (many or 0) <= max_bytes else df
 
 
 def scratch_name(df: DataFrame, stem: str) -> str:
