@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.storage import materialize
+from dossier.storage import Scratch
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -33,12 +33,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
+    scratch = Scratch(edges.sparkSession)
+    e = scratch.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges0")
     before = mark(e)
-    for _ in range(max_rounds):
+    for n in range(max_rounds):
         if not before[0]:
             break
-        e = materialize(small_star(large_star(e)), "edges")
+        e = scratch.table(small_star(large_star(e)), f"edges{n + 1}")
+        scratch.drop(f"edges{n}")
         if (now := mark(e)) == before:
             break
         before = now

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.llm.components import connected_components
-from dossier.storage import broadcast_if_small, materialize, read_table, scratch_name
+from dossier.storage import Scratch, broadcast_if_small, materialize, read_table, scratch_name
 
 SEED = 42
 #: Shingles hashed at a time; bounds a task's memory for very long texts.
@@ -257,15 +257,17 @@ def _text_prints(docs: DataFrame, verify_words: int, n_words: int, least: float)
     return docs.mapInArrow(run, out)
 
 
-def prefix_slots(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+def prefix_slots(prints: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Rows (slot, key, pos) of the prefix shingles that several texts have, and rows (key, size, head, b0, ...) of these texts."""
     told = prints.filter("prefix IS NOT NULL")
     each = told.select("key", F.posexplode("prefix").alias("pos", "slot"))
-    shared = materialize(each.groupBy("slot").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low != high").select("slot"), "shared")
-    met = materialize(each.join(broadcast_if_small(shared), "slot", "left_semi").dropDuplicates(["slot", "key"]), "met")
-    sets = told.join(broadcast_if_small(materialize(met.select("key").distinct(), "involved")), "key", "left_semi")
+    shared = scratch.table(each.groupBy("slot").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low != high").select("slot"), "shared")
+    met = scratch.table(each.join(broadcast_if_small(shared), "slot", "left_semi").dropDuplicates(["slot", "key"]), "met")
+    sets = told.join(broadcast_if_small(scratch.table(met.select("key").distinct(), "involved")), "key", "left_semi")
     sets = sets.select("key", "size", F.slice("prefix", 1, HEAD).alias("head"), *(F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(BITMAP_WORDS))).dropDuplicates(["key"])
-    return met, materialize(sets, "sets")
+    sets = scratch.table(sets, "sets")
+    scratch.drop("shared", "involved")
+    return met, sets
 
 
 def _large_enough(least: float) -> tuple[Column, Column]:
@@ -293,17 +295,17 @@ def prefix_stars(met: DataFrame, sets: DataFrame, least: float, salt: int) -> Da
     return pairs.filter(_large_enough(least)[1]).select(F.col("l_key").alias("a"), F.col("r_key").alias("b"))
 
 
-def prefix_links(met: DataFrame, sets: DataFrame, split: DataFrame, least: float) -> DataFrame:
+def prefix_links(met: DataFrame, sets: DataFrame, split: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """Rows (a, b), the candidates among the texts of ``split`` (key, part): every pair of different parts whose sets of
     shingles have a Jaccard similarity of ``least`` or more is among them. ``met`` and ``sets`` are those of prefix_slots.
 
     Such sets share a shingle of their prefixes. At the first that they share, none of either set before it is shared,
     so the rest of each must be large enough.
     """
-    parted = materialize(met.join(split, "key"), "met")
+    parted = scratch.table(met.join(split, "key"), "parted")
     several = parted.groupBy("slot").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high")
-    parted = parted.join(broadcast_if_small(materialize(several.select("slot"), "several")), "slot", "left_semi")
-    wide = materialize(parted.join(sets, "key"), "wide")
+    parted = parted.join(broadcast_if_small(scratch.table(several.select("slot"), "several")), "slot", "left_semi")
+    wide = scratch.table(parted.join(sets, "key"), "wide")
     need, fits = _large_enough(least)
     fits &= (F.col("l_key") < F.col("r_key")) & (F.col("l_part") != F.col("r_part")) & (F.least(F.col("l_size") - F.col("l_pos"), F.col("r_size") - F.col("r_pos")) >= need)
     # a pair is made at the first shingle that it shares, as far as the heads tell
@@ -313,23 +315,27 @@ def prefix_links(met: DataFrame, sets: DataFrame, split: DataFrame, least: float
 
 
 def _shingle_hashes(texts: DataFrame, size: int) -> DataFrame:
-    """Rows (key, hashes) of the rows (key, text): the sorted distinct 64-bit hashes of a text's shingles."""
-    out = T.StructType([T.StructField("key", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
+    """Rows (key, hashes) of the rows (key, text): the distinct hashes of a text's shingles, the lower 32 bits of each.
+
+    32 bits halve what a pair moves. Of two texts of n shingles some 2 n^2 / 2^32 happen to share one more: under one
+    for n up to 40,000, and never more than n / 2^32 of a text's shingles.
+    """
+    out = T.StructType([T.StructField("key", T.LongType()), T.StructField("hashes", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted({signed(xxhash.xxh64_intdigest(s, SEED)) for s in shingles(text_words(t.as_py()), size)}) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=out.names)
+            found = [shingle_set(text_words(t.as_py()), size).astype(np.int32) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=out.names)
 
     return texts.mapInArrow(run, out)
 
 
-def _shingle_sets(narrow: DataFrame, texts: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+def _shingle_sets(narrow: DataFrame, texts: DataFrame, pairs: DataFrame, size: int, scratch: Scratch) -> DataFrame:
     """Rows (key, hashes) of those of ``texts`` that ``pairs`` name; ``narrow`` has the rows (id, row, text)."""
     involved = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = materialize(texts.join(involved, "key", "left_semi").select("key", F.col("best.id").alias("w_id"), F.col("best.row").alias("w_row")), "wanted")
+    wanted = scratch.table(texts.join(involved, "key", "left_semi").select("key", F.col("best.id").alias("w_id"), F.col("best.row").alias("w_row")), "wanted")
     found = narrow.join(broadcast_if_small(wanted), F.col("id").eqNullSafe(F.col("w_id")) & (F.col("row") == F.col("w_row")))
-    return materialize(_shingle_hashes(found.select("key", "text"), size).dropDuplicates(["key"]), "shingles")
+    return scratch.table(_shingle_hashes(found.select("key", "text"), size).dropDuplicates(["key"]), "shingles")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -360,35 +366,41 @@ def deduplicate(
     table gives no rows. A very long text costs memory in proportion to its distinct shingles.
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    prints = materialize(_text_prints(narrow, verify_words, 1, similarity), "prints")
-    texts = materialize(prints.groupBy("key", "f0").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")), "texts")
+    scratch = Scratch(docs.sparkSession)
+    prints = scratch.table(_text_prints(narrow, verify_words, 1, similarity), "prints")
+    rows = scratch.table(prints.groupBy("id", "row", "key", "f0").agg(F.count("*").alias("n")), "rows")
+    texts = scratch.table(rows.groupBy("key", "f0").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")), "texts")
     # one row for each fingerprint, that of its first text; the others that happen to have it meet that one here
-    leads = materialize(texts.groupBy("f0").agg(F.min("key").alias("key")), "leads")
+    leads = scratch.table(texts.groupBy("f0").agg(F.min("key").alias("key")), "leads")
     same = texts.select("key", "f0").join(leads.withColumnRenamed("key", "lead"), "f0").filter("key != lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
     near = stars(leads.select("f0"), radius)
     for side in "ab":
         near = near.join(leads.select(F.col("f0").alias(side), F.col("key").alias(f"key_{side}")), side)
-    # first a linear number of candidates, which put the close copies of a large group together ...
-    met, carried = prefix_slots(prints)
     near = near.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).union(same)
+    # first a linear number of candidates, which put the close copies of a large group together ...
+    met, carried = prefix_slots(prints, scratch)
+    scratch.drop("prints")
     for salt in range(STARS):
         near = near.union(prefix_stars(met, carried, similarity, salt))
-    nearest = materialize(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    sets = _shingle_sets(narrow, texts, nearest, verify_words)
-    parts = connected_components(_similar(nearest, sets, similarity))
-    # ... then all texts, leads or not, that may be similar and are not together yet, so a large group's own pairs are never made
-    split = materialize(texts.join(parts, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("part")), "parts")
-    others = materialize(prefix_links(met, carried, split, similarity).distinct(), "candidates")
-    sets = sets.union(_shingle_sets(narrow, texts.join(sets, "key", "left_anti"), others, verify_words))
+    nearest = scratch.table(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "nearest")
+    sets = _shingle_sets(narrow, texts, nearest, verify_words, scratch)
+    linked = scratch.table(_similar(nearest, sets, similarity), "linked")
+    parts = connected_components(linked)
+    # ... then all texts that may be similar and are not together yet, so a large group's own pairs are never made
+    split = scratch.table(texts.join(parts, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("part")), "parts")
+    others = scratch.table(prefix_links(met, carried, split, similarity, scratch).distinct(), "others")
+    scratch.drop("met", "parted", "several", "wide", "sets", "nearest", "wanted", "leads", "linked")
+    sets = sets.union(_shingle_sets(narrow, texts.join(sets, "key", "left_anti"), others, verify_words, scratch))
     ends = [split.select(F.col("key").alias(c), F.col("part").alias(f"part_{c}")) for c in "ab"]
     between = _similar(others, sets, similarity).join(ends[0], "a").join(ends[1], "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
     roots = connected_components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).union(between))
     grouped = texts.join(roots, F.col("key") == F.col("node"), "left").select("key", "best", F.coalesce("root", "key").alias("root"))
-    keep = materialize(grouped.groupBy("root").agg(F.min(F.struct("best", "key")).alias("first")).select("first.key", "first.best.id", "first.best.row"), "keep")
+    keep = scratch.table(grouped.groupBy("root").agg(F.min(F.struct("best", "key")).alias("first")).select("first.key", "first.best.id", "first.best.row"), "keep")
     # a row is told by doc_id and a hash of its text: those that go, and those that stay but are there more than once
-    marked = prints.groupBy("id", "row", "key").agg(F.count("*").alias("n")).join(keep.select("key", F.col("id").alias("k_id"), F.col("row").alias("k_row")), "key", "left")
+    marked = rows.join(keep.select("key", F.col("id").alias("k_id"), F.col("row").alias("k_row")), "key", "left")
     marked = marked.select("id", "row", (F.col("k_row").isNotNull() & F.col("id").eqNullSafe(F.col("k_id")) & (F.col("row") == F.col("k_row"))).alias("stays"), "n")
-    out = materialize(marked.filter("NOT stays OR n > 1"), "out")
+    out = scratch.table(marked.filter("NOT stays OR n > 1"), "out")
+    scratch.drop("rows", "texts", "parts", "others", "wanted", "shingles", "keep")
     row, rid = scratch_name(docs, "row"), scratch_name(docs, "rid")
     tagged = docs.withColumn(row, F.xxhash64(text_col))
 
