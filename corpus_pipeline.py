@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from dossier.llm import decontaminate, packing, quality, secret_scan, simhash
-from dossier.storage import materialize, new_path, read_table
+from dossier.storage import Scratch, new_path, read_table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, scratch = read_table(spark, sf_dir, "documents"), Scratch(spark)
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = materialize(docs, f"stage{i}")
+            docs = scratch.table(docs, f"stage{i}")
+            scratch.drop(f"stage{i - 1}")
     return docs
