@@ -13,9 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dossier.storage import materialize, read_table
+from dossier.storage import Scratch, materialize, read_table
 
-MARKS = r"^[\x20\t]*((?:>[\x20\t]?)+)"
+MARKS = r"^[\x20\t]*+((?:>[\x20\t]?+)++)"
+#: Turns of one conversation that a task orders together, on average.
+BLOCK = 1024
+#: Signs within a passage that normalising takes for spaces anyway; they mark where one begins and its depth ends.
+BEGIN, DEPTH_END = "\x01", "\x02"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,20 +48,21 @@ def own_text(lines: Column) -> Column:
 
 
 def passages_of(lines: Column) -> Column:
-    """Structs (depth, text) of a message's passages: neighbouring lines of one depth; a blank line ends one."""
+    """Structs (depth, text) of a message's passages: neighbouring lines of one depth; a blank line ends one.
 
-    def step(acc: Column, x: Column) -> Column:
-        blank = F.trim(x["text"]) == ""
-        same = (F.size(acc["open"]) > 0) & (x["depth"] == acc["depth"])
-        closed = F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(F.struct(acc["depth"].alias("depth"), F.array_join(acc["open"], "\n").alias("text"))))).otherwise(acc["done"])
-        return F.struct(
-            F.when(same & ~blank, acc["done"]).otherwise(closed).alias("done"),
-            x["depth"].alias("depth"),
-            F.when(blank, F.array().cast("array<string>")).when(same, F.array_append(acc["open"], x["text"])).otherwise(F.array(x["text"])).alias("open"),
-        )
+    Every line is marked by what is before it and the marked lines are joined and cut again, so the work is in
+    proportion to the message.
+    """
+
+    def marked(x: Column, before: Column) -> Column:
+        text = F.translate(x["text"], BEGIN + DEPTH_END, "  ")
+        fresh = before.isNull() | (before["depth"] != x["depth"]) | (F.trim(before["text"]) == "") | (F.trim(x["text"]) == "")
+        return F.when(fresh, F.concat(F.lit(BEGIN), x["depth"].cast("string"), F.lit(DEPTH_END), text)).otherwise(F.concat(F.lit("\n"), text))
 
-    zero = F.struct(F.array().cast("array<struct<depth:int,text:string>>").alias("done"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("open"))
-    return F.aggregate(F.array_append(lines, F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))), zero, step, lambda acc: acc["done"])
+    nothing = F.array(F.lit(None).cast("struct<depth:int,text:string>"))
+    joined = F.array_join(F.zip_with(lines, F.concat(nothing, F.slice(lines, F.lit(1), F.size(lines) - 1)), marked), "")
+    pieces = F.filter(F.split(joined, BEGIN), lambda p: p != "")
+    return F.transform(pieces, lambda p: F.struct(F.substring_index(p, DEPTH_END, 1).cast("int").alias("depth"), F.substring_index(p, DEPTH_END, -1).alias("text")))
 
 
 def link(messages: DataFrame) -> DataFrame:
@@ -71,47 +76,77 @@ def link(messages: DataFrame) -> DataFrame:
     return found.groupBy("conv_id", "turn").agg(F.min(F.struct("depth", (-F.col("origin")).alias("origin"))).alias("b")).select("conv_id", "turn", (-F.col("b.origin")).alias("reply_to"))
 
 
-def thread_roots(replies: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, root, depth) of (conv_id, turn, parent): the first message of the chain of replies above.
+def in_order(turns: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, quoted, first, before, place, head, head_place) of the distinct turns (conv_id, turn, quoted).
 
-    A message jumps over its parent to the parent's parent, twice as far in each round, so the rounds grow with the
-    logarithm of the longest chain. Parents are always earlier, so there are no circles.
+    ``before`` is the turn before, ``place`` counts a conversation's turns from 1, ``head`` is the latest turn up to this
+    one that quotes another, else the conversation's first. A conversation is ordered in blocks of its range of turns
+    and then between blocks, so a hot one is dealt out; only its blocks, one in ``BLOCK`` of its turns, meet in one task.
     """
-    at = materialize(replies.select("conv_id", "turn", F.coalesce("parent", "turn").alias("root"), F.col("parent").isNotNull().cast("int").alias("depth")), "threads")
+    ranges = turns.groupBy("conv_id").agg(F.min("turn").alias("first"), F.max("turn").alias("last"), F.count("*").alias("n"))
+    wide = (F.col("last").cast("double") - F.col("first").cast("double")) / F.ceil(F.col("n") / BLOCK) + 1
+    dealt = turns.join(ranges.select("conv_id", "first", wide.alias("wide")), "conv_id")
+    dealt = dealt.select("conv_id", "turn", "quoted", "first", F.floor((F.col("turn").cast("double") - F.col("first").cast("double")) / F.col("wide")).alias("block"))
+    of_block = W.partitionBy("conv_id", "block").orderBy("turn")
+    inside = dealt.withColumns({"at": F.row_number().over(of_block), "before": F.lag("turn").over(of_block)})
+    is_head = F.col("quoted").isNotNull()
+    inside = materialize(inside.withColumn("head", F.last(F.when(is_head, F.struct("turn", "at")), ignorenulls=True).over(of_block)), "turns")
+    blocks = inside.groupBy("conv_id", "block").agg(F.count("*").alias("n"), F.max("turn").alias("last"), F.max(F.when(is_head, F.struct("turn", "at"))).alias("head"))
+    by_block = W.partitionBy("conv_id").orderBy("block")
+    earlier = by_block.rowsBetween(W.unboundedPreceding, -1)
+    counted = blocks.select("conv_id", "block", "last", "head", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("more"))
+    counted = counted.withColumn("head", F.when(F.col("head").isNotNull(), F.struct(F.col("head.turn").alias("turn"), (F.col("head.at") + F.col("more")).alias("at"))))
+    carried = counted.select("conv_id", "block", "more", F.lag("last").over(by_block).alias("carried"), F.last("head", ignorenulls=True).over(earlier).alias("above"))
+    return inside.join(carried, ["conv_id", "block"]).select(
+        "conv_id", "turn", "quoted", "first", F.coalesce("before", "carried").alias("before"), (F.col("at") + F.col("more")).alias("place"),
+        F.coalesce("head.turn", "above.turn", "first").alias("head"), F.coalesce(F.col("head.at") + F.col("more"), F.col("above.at"), F.lit(1)).alias("head_place"),
+    )
+
+
+def depths(ordered: DataFrame) -> DataFrame:
+    """Rows (conv_id, head, up): how many replies are above each head of ``ordered``.
+
+    A head's parent is somewhere below another head; a head jumps over that one to the next, twice as far in each round,
+    so the rounds grow with the logarithm of the longest chain of quotations. Parents are always earlier: no circles.
+    """
+    heads = ordered.filter("turn = head").select("conv_id", "head", F.col("quoted").alias("turn"))
+    parents = ordered.select("conv_id", "turn", F.col("head").alias("next"), (F.col("place") - F.col("head_place") + 1).alias("up"))
+    scratch, n = Scratch(ordered.sparkSession), 0
+    at = heads.join(parents, ["conv_id", "turn"], "left").select("conv_id", "head", F.coalesce("next", "head").alias("next"), F.coalesce("up", F.lit(0)).cast("long").alias("up"))
+    at = scratch.table(at, "heads0")
     while True:
-        up = at.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        moved = at.join(up, ["conv_id", "root"], "left")
-        after = materialize(moved.select("conv_id", "turn", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("next") != F.col("root")).alias("went")), "threads")
-        if not after.filter("went").limit(1).count():
-            return after.drop("went")
-        at = after.drop("went")
+        above = at.select("conv_id", F.col("head").alias("next"), F.col("next").alias("far"), F.col("up").alias("more"))
+        moved = at.join(above, ["conv_id", "next"]).select("conv_id", "head", F.col("far").alias("next"), (F.col("up") + F.col("more")).alias("up"), (F.col("far") != F.col("next")).alias("went"))
+        moved = scratch.table(moved, f"heads{n + 1}")
+        scratch.drop(f"heads{n}")
+        at, n = moved.drop("went"), n + 1
+        if not moved.filter("went").limit(1).count():
+            return at.drop("next")
 
 
 def reply_ordered(conversations: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, reply_to, quoted, thread, depth, text) of the messages, quotes taken out.
-
-    Sorting by conv_id, thread, turn gives reply-ordered conversations: a thread's messages follow its first one, and
-    no message stands before the one it replies to. ``reply_to`` is null for the first message; ``quoted`` tells
-    whether it comes from a quotation. Rows with a null conv_id or turn have no thread of others: they keep a null
-    reply_to, their own turn as thread and depth 0. Of rows that repeat (conv_id, turn) each stays, and quotations of
-    any of them count. Null texts become empty; an empty table gives no rows. Other columns are not read.
+    """Rows (conv_id, turn, role, reply_to, quoted, thread, depth, place, text) of the messages, quotes taken out.
+
+    Sorting by conv_id and place gives reply-ordered conversations: no message stands before the one it replies to.
+    ``reply_to`` is null for the first message; ``quoted`` tells whether it comes from a quotation. ``thread`` is the
+    message that the chain of ``reply_to`` ends at and ``depth`` its length. Rows with a null conv_id or turn have no
+    thread of others: they keep a null reply_to, their own turn as thread, depth 0 and a null place. Of rows that repeat
+    (conv_id, turn) each stays with the same place, and quotations of any of them count. Null and empty texts become
+    empty; texts and quotations may be of any length; an empty table gives no rows. Other columns are not read.
     """
     messages = conversations.select("conv_id", "turn", "role", "text")
     placed = messages.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
-    turns = placed.select("conv_id", "turn").distinct()
-    # the message before, without one task for a hot conversation: within blocks of turns, then between blocks
-    block = F.floor(F.col("turn") / 1024)
-    inside = turns.select("*", block.alias("block"), F.lag("turn").over(W.partitionBy("conv_id", block).orderBy("turn")).alias("before"))
-    inside = materialize(inside, "turns")
-    lasts = inside.groupBy("conv_id", "block").agg(F.max("turn").alias("last"))
-    earlier = lasts.select("conv_id", "block", F.lag("last").over(W.partitionBy("conv_id").orderBy("block")).alias("carried"))
-    previous = inside.join(earlier, ["conv_id", "block"], "left").select("conv_id", "turn", F.coalesce("before", "carried").alias("before"))
-    replies = previous.join(link(placed), ["conv_id", "turn"], "left")
-    replies = materialize(replies.select("conv_id", "turn", "reply_to", F.coalesce("reply_to", "before").alias("parent")), "replies")
-    threads = thread_roots(replies.select("conv_id", "turn", F.col("reply_to").alias("parent")))
-    known = replies.join(threads, ["conv_id", "turn"]).select("conv_id", "turn", F.col("parent").alias("reply_to"), F.col("reply_to").isNotNull().alias("quoted"), F.col("root").alias("thread"), "depth")
+    linked = placed.select("conv_id", "turn").distinct().join(link(placed).withColumnRenamed("reply_to", "quoted"), ["conv_id", "turn"], "left")
+    ordered = materialize(in_order(linked), "ordered")
+    known = ordered.join(depths(ordered), ["conv_id", "head"]).select(
+        "conv_id", "turn", F.coalesce("quoted", "before").alias("reply_to"), F.col("quoted").isNotNull().alias("quoted"),
+        F.col("first").alias("thread"), (F.col("up") + F.col("place") - F.col("head_place")).alias("depth"), "place",
+    )
     joined = messages.join(known, ["conv_id", "turn"], "left")
-    return joined.select("conv_id", "turn", "role", "reply_to", F.coalesce("quoted", F.lit(False)).alias("quoted"), F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"), own_text(lines_of(F.col("text"))).alias("text"))
+    return joined.select(
+        "conv_id", "turn", "role", "reply_to", F.coalesce("quoted", F.lit(False)).alias("quoted"), F.coalesce("thread", "turn").alias("thread"),
+        F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.col("place").cast("long").alias("place"), own_text(lines_of(F.col("text"))).alias("text"),
+    )
 
 
 def op4_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,14 +170,14 @@ WITH RECURSIVE raw_lines AS (
 ), links AS (
   SELECT conv_id, turn, arg_min(origin, depth * 1000000000 - origin) AS quoted_turn FROM quotes JOIN wrote USING (conv_id, form) WHERE origin < turn GROUP BY 1, 2
 ), replies AS (
-  SELECT conv_id, turn, quoted_turn, coalesce(quoted_turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn)) AS reply_to
+  SELECT conv_id, turn, quoted_turn, coalesce(quoted_turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn)) AS reply_to, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place
   FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL) LEFT JOIN links USING (conv_id, turn)
 ), chain AS (
-  SELECT conv_id, turn, turn AS root, 0 AS depth FROM replies WHERE quoted_turn IS NULL
-  UNION ALL SELECT r.conv_id, r.turn, c.root, c.depth + 1 FROM chain c JOIN replies r ON r.conv_id = c.conv_id AND r.quoted_turn = c.turn
+  SELECT conv_id, turn, turn AS root, 0 AS depth FROM replies WHERE reply_to IS NULL
+  UNION ALL SELECT r.conv_id, r.turn, c.root, c.depth + 1 FROM chain c JOIN replies r ON r.conv_id = c.conv_id AND r.reply_to = c.turn
 ), own AS (
   SELECT rid, conv_id, turn, role, trim(coalesce(string_agg(body, chr(10) ORDER BY n) FILTER (WHERE depth = 0), '')) AS text FROM marked GROUP BY 1, 2, 3, 4
 )
-SELECT own.conv_id, own.turn, role, reply_to, coalesce(quoted_turn IS NOT NULL, false) AS quoted, coalesce(root, own.turn) AS thread, coalesce(chain.depth, 0)::INTEGER AS depth, text
+SELECT own.conv_id, own.turn, role, reply_to, coalesce(quoted_turn IS NOT NULL, false) AS quoted, coalesce(root, own.turn) AS thread, coalesce(chain.depth, 0)::BIGINT AS depth, place, text
 FROM own LEFT JOIN replies ON replies.conv_id = own.conv_id AND replies.turn = own.turn LEFT JOIN chain ON chain.conv_id = own.conv_id AND chain.turn = own.turn
 """

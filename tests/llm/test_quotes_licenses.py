@@ -44,7 +44,8 @@ def test_quotation_links(spark):
     assert len(rows) == len(MESSAGES)
     assert rows[(1, 1, "Fine, thanks.")]["reply_to"] == 0 and rows[(1, 2, "Good!")]["reply_to"] == 1
     assert rows[(1, 4, "ok")]["quoted"] is False and rows[(1, 4, "ok")]["reply_to"] == 3
-    assert rows[(1, 5, "yes")]["thread"] == 0 and rows[(1, 5, "yes")]["depth"] == 3
+    assert rows[(1, 5, "yes")]["thread"] == 0 and rows[(1, 5, "yes")]["depth"] == 3 and rows[(1, 5, "yes")]["place"] == 6
+    assert rows[(1, 4, "ok")]["thread"] == 0 and rows[(1, 4, "ok")]["depth"] == 2 and rows[(3, 5000, "b")]["depth"] == 2
     same_as_sql(df, found, quotes.SQL, "conversations")
 
 
@@ -62,6 +63,32 @@ def test_quotation_links_at_random(spark):
     same_as_sql(df, quotes.reply_ordered(df), quotes.SQL, "conversations")
 
 
+def test_long_messages_and_deep_quotes(spark):
+    lines = [f"line {i} of many" for i in range(100_000)]
+    rows = [
+        (1, 0, "u", ">" * 100_000 + " deep"),
+        (1, 1, "u", "\n".join(lines)),
+        (1, 2, "u", "\n".join("> " * (1 + i % 2) + x for i, x in enumerate(lines)) + "\nanswer"),
+        (1, 3, "u", "> " * 50_000 + "answer\n" + "x " * 100_000),
+    ]
+    found = {r["turn"]: r for r in quotes.reply_ordered(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[0]["text"] == "" and found[2]["text"] == "answer" and len(found[1]["text"]) == len("\n".join(lines))
+    assert found[2]["reply_to"] == 1 and not found[2]["quoted"] and found[3]["reply_to"] == 2 and found[3]["quoted"]
+
+
+def test_hot_conversation_in_blocks(spark, monkeypatch):
+    """Few turns a block, turns far apart, repeated rows: the blocks join to one order."""
+    monkeypatch.setattr(quotes, "BLOCK", 4)
+    rng, rows, said = random.Random(8), [], []
+    for i in range(200):
+        turn = i * 1_000_003 if i < 150 else 10**15 + i
+        quoted = f"> {rng.choice(said)}\n" if said and rng.random() < 0.3 else ""
+        said.append(f"say {i}")
+        rows += [(7, turn, "u", quoted + said[-1])] * rng.choice([1, 1, 2])
+    df = spark.createDataFrame(rows, SCHEMA)
+    same_as_sql(df, quotes.reply_ordered(df), quotes.SQL, "conversations")
+
+
 def test_quotation_links_of_nothing(spark):
     assert quotes.reply_ordered(spark.createDataFrame([], SCHEMA)).count() == 0
 
