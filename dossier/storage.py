@@ -15,7 +15,7 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
 
 
-#: With it the shuffle files of a finished write go at once; nothing reads them again.
+#: With it the shuffle files of a finished write go at once.
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -43,10 +43,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 class Scratch:
-    """Written tables of one computation, each of which is deleted when it has been used."""
+    """Written tables of one computation, each of which is deleted when it has been used.
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    With ``clean`` the shuffle files of each write go when it ends, for computations of many large shuffles. What is
+    written must be planned afresh then: no RDD, and nothing that another action has begun to work out.
+    """
+
+    def __init__(self, spark: SparkSession, clean: bool = False):
+        self.spark, self.clean = spark, clean
         self.paths: dict[str, list[str]] = {}
 
     def table(self, df: DataFrame, label: str) -> DataFrame:
@@ -54,7 +58,7 @@ class Scratch:
         path = new_path(self.spark, label)
         self.paths.setdefault(label, []).append(path)
         before = self.spark.conf.get(CLEAN_SHUFFLES, "false")
-        self.spark.conf.set(CLEAN_SHUFFLES, "true")
+        self.spark.conf.set(CLEAN_SHUFFLES, "true" if self.clean else before)
         try:
             df.write.parquet(path)
         finally:
