@@ -125,7 +125,7 @@ def tokenize_pieces(
         T.StructField("start", T.LongType()),
         T.StructField("length", T.LongType()),
         T.StructField("ids_crc32", T.LongType()),
-    ] + ([T.StructField("ids", T.ArrayType(T.LongType()))] if keep_ids else [])
+    ] + ([T.StructField("ids", T.ArrayType(T.IntegerType()))] if keep_ids else [])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = _encoder(*paths), np.asarray([end_id], dtype="<u4").tobytes()
@@ -150,11 +150,11 @@ def tokenize_pieces(
                         length.append(take)
                         crc.append(zlib.crc32(part))
                         if keep_ids:
-                            kept.append(np.frombuffer(part, dtype="<u4").astype(np.int64))
+                            kept.append(np.frombuffer(part, dtype="<u4").astype(np.int32))
                         done += take
                 arrays = [ids.take(pa.array(rows)), pa.array(n, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
                 if keep_ids:
-                    arrays.append(pa.array(kept, pa.list_(pa.int64())))
+                    arrays.append(pa.array(kept, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
                 at = upto
 
@@ -240,7 +240,7 @@ def pack_pieces(pieces: DataFrame, max_tokens: int = MAX_TOKENS, pieces_per_shar
         shard = table.column("__shard")[0].as_py()
         return table.drop_columns(["__shard"]).append_column("sequence_id", pa.array(sequence + (shard << 36))).append_column("offset", pa.array(offset))
 
-    packed = short.withColumn("__shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards))).groupBy("__shard").applyInArrow(pack, out)
+    packed = short.withColumn("__shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))).groupBy("__shard").applyInArrow(pack, out)
     full = pieces.filter(F.col("length") == max_tokens).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(full)
 

@@ -366,7 +366,7 @@ def deduplicate(
     table gives no rows. A very long text costs memory in proportion to its distinct shingles.
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    scratch = Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, clean=True)
     prints = scratch.table(_text_prints(narrow, verify_words, 1, similarity), "prints")
     rows = scratch.table(prints.groupBy("id", "row", "key", "f0").agg(F.count("*").alias("n")), "rows")
     texts = scratch.table(rows.groupBy("key", "f0").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")), "texts")
