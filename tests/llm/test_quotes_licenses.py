@@ -104,11 +104,17 @@ def test_licenses(spark, edge_docs, clashing, empty_docs):
         (5, ""),
         (6, "some words\nLICENSED under the Apache Licence version 2.0\nReleased under the MIT License.\nReleased under the MIT license"),
         (7, mit + " and more"),
+        (8, "Copyright (c) 2021 Someone\n" + dict(licenses.KNOWN_TEXTS)["BSL-1.0"].replace(". ", ".\n").replace("license", "licence")),
+        (9, "# header\n\n" + licenses._GNU_HEADER.format("General Public License").replace("the ", "the\n") + "\n\ntext\n" + "more " * 50_000),
+        (10, "licence licence licence"),
+        (11, "license license license"),
+        (12, "x\nCopyright 2020 Me\nlicensed under the Apache License, Version 2.0\n\n\n"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = licenses.scan(df, licenses.built_in(spark))
     by_id = {r["doc_id"]: r for r in found.collect()}
-    assert found.count() == 8
+    assert found.count() == 13
+    assert by_id[8]["license"] == "BSL-1.0" and by_id[9]["notices"] == "GPL-3.0-or-later" and by_id[10]["text_digest"] == by_id[11]["text_digest"] and by_id[12]["notices"] == "Apache-2.0"
     assert by_id[1]["license"] == "MIT" and by_id[7]["license"] is None and by_id[4]["text_digest"] is None
     assert by_id[6]["notices"] == "Apache-2.0,MIT" and by_id[6]["n_notices"] == 3
     same_as_sql(df, found, licenses.sql(), "documents")
