@@ -1,8 +1,7 @@
 """Agreement of the documents of a case, without pairs of all documents.
 
-``amount_outliers`` says of every document how many others of its case differ from it. ``cross_document_mismatch`` is
-coarser: sorted by amount, neighbours within tolerance are one group, so small steps that add up to more than the
-tolerance stay within a group, and a case of one such group has no rows there.
+``cross_document_mismatch`` tells which cases hold documents that differ, ``amount_outliers`` which documents these are and
+how many others of their case each differs from.
 """
 
 from __future__ import annotations
@@ -19,20 +18,14 @@ def differs(a: Column, b: Column) -> Column:
     return F.abs(a - b) > F.greatest(TOLERANCE * F.greatest(F.abs(a), F.abs(b)), F.lit(LEAST))
 
 
-def amount_groups(documents: DataFrame) -> DataFrame:
-    """Rows (case_id, document_id, amount, group_no) of the documents (case_id, document_id, amount) with an amount."""
-    w = W.partitionBy("case_id").orderBy("amount", "document_id")
-    step = documents.filter("amount IS NOT NULL").select("case_id", "document_id", "amount", differs(F.col("amount"), F.lag("amount").over(w)).alias("new"))
-    return step.select("case_id", "document_id", "amount", F.sum(F.coalesce(F.col("new"), F.lit(False)).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)).cast("long").alias("group_no"))
-
-
 def cross_document_mismatch(documents: DataFrame) -> DataFrame:
-    """Rows (case_id, group_no, n_documents, low, high, gap): groups of agreeing amounts of cases that have several,
-    and the step to the next lower group, null for the lowest."""
-    groups = amount_groups(documents).groupBy("case_id", "group_no").agg(F.count("*").alias("n_documents"), F.min("amount").alias("low"), F.max("amount").alias("high"))
-    below = F.lag("high").over(W.partitionBy("case_id").orderBy("group_no"))
-    spread = groups.withColumn("gap", F.round(F.col("low") - below, 2)).withColumn("n_groups", F.count("*").over(W.partitionBy("case_id")))
-    return spread.filter("n_groups > 1").drop("n_groups")
+    """Rows (case_id, n_documents, low, high, difference) of the cases in which any two amounts differ.
+
+    If two amounts differ, so do the lowest and the highest, since the tolerance grows slower than the distance; so one
+    aggregation finds what all pairs would. Null amounts and null cases are compared with nothing.
+    """
+    told = documents.filter("case_id IS NOT NULL AND amount IS NOT NULL").groupBy("case_id").agg(F.count("*").alias("n_documents"), F.min("amount").alias("low"), F.max("amount").alias("high"))
+    return told.filter(differs(F.col("low"), F.col("high"))).withColumn("difference", F.round(F.col("high") - F.col("low"), 2))
 
 
 def _lower(values: DataFrame) -> DataFrame:

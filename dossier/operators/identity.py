@@ -6,13 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dossier.functions.text import name_tokens, sound_key
+from dossier.functions.text import full_form, name_tokens, sound_key
+
+
+#: Shorter tokens are never taken for one another by a slip.
+SLIP_LENGTH = 5
+
+
+def one_slip(a: Column, b: Column) -> Column:
+    """Tokens whose sounds begin alike and differ by a letter more, a changed vowel or two neighbours exchanged."""
+    x, y = sound_key(a), sound_key(b)
+    pairs = F.zip_with(F.split(x, ""), F.split(y, ""), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    apart = F.filter(F.transform(pairs, lambda v, i: F.struct(i.alias("i"), v["p"].alias("p"), v["q"].alias("q"))), lambda v: v["p"] != v["q"])
+    one, two = F.get(apart, F.lit(0)), F.get(apart, F.lit(1))
+    vowel = (F.size(apart) == 1) & one["p"].isin(*"aeiou") & one["q"].isin(*"aeiou")
+    swapped = (F.size(apart) == 2) & (two["i"] == one["i"] + 1) & (one["p"] == two["q"]) & (one["q"] == two["p"])
+    alike = F.when(F.length(x) == F.length(y), vowel | swapped).otherwise(F.levenshtein(x, y) == 1)
+    return (F.least(F.length(a), F.length(b)) >= SLIP_LENGTH) & (F.substring(x, 1, 1) == F.substring(y, 1, 1)) & alike
 
 
 def token_relation(a: Column, b: Column) -> Column:
-    """exact, initial, spelling (one sound) or typo (one edit) of two name tokens; null if none."""
+    """exact, abbreviation, spelling (one sound), initial or typo of two name tokens, the strongest; null if none."""
+    full_a, full_b = full_form(a), full_form(b)
+    short = (full_a != a) | (full_b != b)
     initial = ((F.length(a) == 1) & b.startswith(a)) | ((F.length(b) == 1) & a.startswith(b))
-    return F.when(a == b, "exact").when(initial, "initial").when(sound_key(a) == sound_key(b), "spelling").when((F.least(F.length(a), F.length(b)) > 3) & (F.levenshtein(a, b) == 1), "typo")
+    return (
+        F.when(a == b, "exact")
+        .when(sound_key(full_a) == sound_key(full_b), F.when(short, "abbreviation").otherwise("spelling"))
+        .when((F.length(a) == 1) | (F.length(b) == 1), F.when(initial, "initial"))
+        .when(one_slip(a, b), "typo")
+    )
 
 
 def compare_names(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -22,7 +45,7 @@ def compare_names(pairs: DataFrame, a: str, b: str) -> DataFrame:
     split = pairs.withColumn("__a", name_tokens(F.col(a))).withColumn("__b", name_tokens(F.col(b)))
 
     def related(x: str, y: str) -> Column:
-        order = F.create_map(*(F.lit(v) for v in ("exact", 0, "initial", 1, "spelling", 1, "typo", 2)))
+        order = F.create_map(*(F.lit(v) for v in ("exact", 0, "abbreviation", 1, "initial", 1, "spelling", 1, "typo", 2)))
         return F.transform(x, lambda t: F.array_min(F.transform(y, lambda u: F.coalesce(F.element_at(order, token_relation(t, u)), F.lit(3)))))
 
     rated = split.withColumn("__ra", related("__a", "__b")).withColumn("__rb", related("__b", "__a"))

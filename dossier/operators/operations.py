@@ -121,6 +121,17 @@ def case_transition(changes: DataFrame, allowed: DataFrame) -> DataFrame:
 
 
 def natural_key(text: Column, width: int = 12) -> Column:
-    """A key that sorts "case-2" before "case-10": each run of digits is padded with zeros."""
+    """A key that sorts "case-2" before "case-10": each run of digits is padded with zeros.
+
+    Runs of ``width`` digits or more stay as they are."""
     runs = F.regexp_extract_all(text, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, width, "0")).otherwise(x)), "")
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]") & (F.length(x) < width), F.lpad(x, width, "0")).otherwise(x)), "")
+
+
+def page_groups(pages: DataFrame, file: str, page: str, starts: str) -> DataFrame:
+    """Rows (file, page, group_no) of the files that have several groups of pages; a page that ``starts`` begins one, and
+    pages before the first such page belong to it. The pages of one file are numbered in one task."""
+    up_to = W.partitionBy(file).orderBy(page)
+    numbered = pages.select(file, page, F.sum(F.coalesce(F.col(starts), F.lit(False)).cast("int")).over(up_to).cast("long").alias("group_no"))
+    several = numbered.withColumn("__most", F.max("group_no").over(W.partitionBy(file))).filter(F.col("__most") >= 2)
+    return several.select(file, page, F.greatest("group_no", F.lit(1)).alias("group_no"))

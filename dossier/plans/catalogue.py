@@ -162,10 +162,10 @@ def chk_multiple_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    """WITH steps AS (SELECT o_custkey AS case_id, o_orderkey, o_totalprice AS a, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS b FROM orders),
-g AS (SELECT case_id, a, sum(CASE WHEN abs(a - b) > greatest(0.01 * greatest(abs(a), abs(b)), 0.01) THEN 1 ELSE 0 END) OVER (PARTITION BY case_id ORDER BY a, o_orderkey ROWS UNBOUNDED PRECEDING)::BIGINT AS group_no FROM steps),
-s AS (SELECT case_id, group_no, count(*) AS n_documents, min(a) AS low, max(a) AS high FROM g GROUP BY 1, 2)
-SELECT case_id, group_no, n_documents, low, high, round(low - lag(high) OVER (PARTITION BY case_id ORDER BY group_no), 2) AS gap FROM s QUALIFY count(*) OVER (PARTITION BY case_id) > 1"""
+    """WITH bad AS (SELECT DISTINCT a.o_custkey AS case_id FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey
+  AND abs(a.o_totalprice - b.o_totalprice) > greatest(0.01 * greatest(abs(a.o_totalprice), abs(b.o_totalprice)), 0.01))
+SELECT o_custkey AS case_id, count(*) AS n_documents, min(o_totalprice) AS low, max(o_totalprice) AS high, round(max(o_totalprice) - min(o_totalprice), 2) AS difference
+FROM orders WHERE o_custkey IN (FROM bad) GROUP BY 1"""
 )
 def cross_document_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_document.cross_document_mismatch(documents(spark, sf_dir).withColumnRenamed("total_amount", "amount"))
@@ -398,13 +398,13 @@ def compare_income(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    """SELECT conv_id, count(*) AS n_pages, count(*) FILTER (WHERE role = 'user') AS n_groups, max(turn) AS last_page FROM conversations GROUP BY 1 HAVING count(*) FILTER (WHERE role = 'user') >= 2"""
+    """WITH g AS (SELECT conv_id, turn, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS group_no FROM conversations)
+SELECT conv_id, turn, greatest(group_no, 1) AS group_no FROM g QUALIFY max(group_no) OVER (PARTITION BY conv_id) >= 2"""
 )
 def split_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of a file as groups: each user turn starts one and the turns after it continue it."""
-    pages = read_table(spark, sf_dir, "conversations")
-    n = pages.groupBy("conv_id").agg(F.count("*").alias("n_pages"), F.count_if(F.col("role") == "user").alias("n_groups"), F.max("turn").alias("last_page"))
-    return n.filter("n_groups >= 2")
+    """Each page of a file of several with its group: a user turn starts one and the turns after it continue it."""
+    pages = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("role") == "user").alias("starts"))
+    return operations.page_groups(pages, "conv_id", "turn", "starts")
 
 
 @register("SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS n_match, count(*) FILTER (WHERE toxic = 1) AS n_conflict, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS n_not_checked, source FROM labels JOIN documents USING (doc_id) GROUP BY source")
@@ -414,10 +414,14 @@ def family_result_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("source").agg(F.count_if((q == 1) & (t == 0)).alias("n_match"), F.count_if(t == 1).alias("n_conflict"), F.count_if((q == 0) & (t == 0)).alias("n_not_checked"))
 
 
-@register("SELECT p_partkey, p_name FROM part ORDER BY length(p_name), p_name, p_partkey LIMIT 50")
+@register(
+    """SELECT p_partkey, p_name || '-' || p_size AS name, array_to_string(list_transform(regexp_extract_all(p_name || '-' || p_size, '[0-9]+|[^0-9]+'),
+lambda x: CASE WHEN regexp_matches(x, '^[0-9]') AND length(x) < 12 THEN lpad(x, 12, '0') ELSE x END), '') AS sort_key FROM part ORDER BY sort_key, p_partkey"""
+)
 def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first fifty part names, shorter ones first."""
-    return read_table(spark, sf_dir, "part").select("p_partkey", "p_name").orderBy(F.length("p_name"), "p_name", "p_partkey").limit(50)
+    """All parts by name and size, runs of digits in the order of their numbers."""
+    parts = read_table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit("-"), F.col("p_size").cast("string")).alias("name"))
+    return parts.withColumn("sort_key", operations.natural_key(F.col("name"))).orderBy("sort_key", "p_partkey")
 
 
 @register("SELECT event_id, user_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")

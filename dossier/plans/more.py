@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dossier.functions import text as fn
 from dossier.functions.sql_functions import register_functions
 from dossier.operators import identity, operations
 from dossier.plans.catalogue import register
@@ -185,3 +186,25 @@ greatest(count(*) FILTER (WHERE event_type = 'click') - count(*) FILTER (WHERE e
 )
 def stream_queue_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.run_to_table(monitor.queue_depth(streamed(spark, sf_dir)), "depth")
+
+
+_SOUND = "lower(w)"
+for _written, _meant in fn.SAME_NAMES.items():
+    _SOUND = f"CASE WHEN lower(w) = '{_written}' THEN '{_meant}' ELSE {_SOUND} END"
+for _group, _sound in fn.SOUNDS:
+    _SOUND = f"replace({_SOUND}, '{_group}', '{_sound}')"
+
+
+def _undoubled(expression: str) -> str:
+    """The letters that differ from the one before them."""
+    return f"array_to_string(list_filter(string_split({expression}, ''), lambda x, i: i = 1 OR x <> string_split({expression}, '')[i - 1]), '')"
+
+
+@register(
+    f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents),
+k AS (SELECT w, regexp_replace({_SOUND}, 'y$', 'i') AS k FROM w) SELECT w AS word, {_undoubled("k")} AS sound FROM k"""
+)
+def fn_sound_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sound of every distinct word of the documents."""
+    words = read_table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("word")).distinct()
+    return words.select("word", fn.sound_key(F.col("word")).alias("sound"))

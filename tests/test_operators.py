@@ -57,7 +57,7 @@ def test_small_text_functions(spark):
 
 
 def test_compare_names(spark):
-    cases = [("Lakshmi Narayanan", "Laxmi Narayanan", "harmless"), ("Verma Rahul", "Rahul Verma", "harmless"), ("Dr. Rahul Verma", "Rahul Verma", "match"), ("K Suresh", "Kavitha Suresh", "harmless"), ("Rahul Jain", "Rohit Jain", "different_name"), ("Sunil Agrawal", "Sunil Agraval", "harmless"), ("Kiran", "Kiran Patel", "partial_name"), ("Anita Sharma", "Anita Sharna", "possible_spelling_error"), ("", "X", None), (None, "X", None)]
+    cases = [("Lakshmi Narayanan", "Laxmi Narayanan", "harmless"), ("Verma Rahul", "Rahul Verma", "harmless"), ("Dr. Rahul Verma", "Rahul Verma", "match"), ("K Suresh", "Kavitha Suresh", "harmless"), ("Rahul Jain", "Rohit Jain", "different_name"), ("Sunil Agrawal", "Sunil Agraval", "harmless"), ("Kiran", "Kiran Patel", "partial_name"), ("Anita Sharma", "Anita Sharna", "different_name"), ("Om Varmani", "Om Vermani", "possible_spelling_error"), ("Om Kartik", "Om Kratik", "possible_spelling_error"), ("Om Kartik", "Om Kartika", "possible_spelling_error"), ("Md Anwar", "Mohammad Anwar", "harmless"), ("Renu", "Ranu", "different_name"), ("José Rao", "Jose Rao", "match"), ("", "X", None), (None, "X", None)]
     rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a string, b string, want string")
     assert [(r["a"], r["verdict"]) for r in identity.compare_names(rows, "a", "b").orderBy("i").collect()] == [(c[0], c[2]) for c in cases]
 
@@ -121,6 +121,17 @@ def test_bulk_plan(spark):
     assert plan == {(1, "c1"): (2, 1, "ok"), (1, "c2"): (1, 1, "no_documents"), (1, "c3"): (1, 0, "nested_folder"), (2, "k"): (1, 0, "ok")}
 
 
+def test_mismatch_of_amounts_that_add_up(spark):
+    """Neighbours agree, the ends don't; and a case that agrees, one of a single document, one without amounts."""
+    from dossier.operators import cross_document
+
+    amounts = {1: [100.0, 100.9, 101.8, 102.7], 2: [50.0, 50.4], 3: [7.0], 4: [None, None], 5: [-10.0, -10.5, None]}
+    rows = [(c, c * 10 + i, a) for c, found in amounts.items() for i, a in enumerate(found)]
+    df = spark.createDataFrame(rows, "case_id long, document_id long, amount double")
+    got = {r["case_id"]: tuple(r)[1:] for r in cross_document.cross_document_mismatch(df).collect()}
+    assert got == {1: (4, 100.0, 102.7, 2.7), 5: (2, -10.5, -10.0, 0.5)}
+
+
 def test_natural_key(spark):
     rows = spark.createDataFrame([("case-10",), ("case-2",), ("case-1b",)], "n string")
     assert [r["n"] for r in rows.orderBy(operations.natural_key(F.col("n"))).collect()] == ["case-1b", "case-2", "case-10"]
