@@ -55,23 +55,35 @@ def vote(hashes: DataFrame, key: str, column: str) -> DataFrame:
     return hashes.select(key, column).mapInArrow(run, out)
 
 
+def _without_one_bit(part: Column, width: int) -> Column:
+    """``part`` with one of its lowest ``width`` bits cleared, for each that is set."""
+    set_bits = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.call_function("getbit", part, k) == 1)
+    return F.transform(set_bits, lambda k: part.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k)))
+
+
 def near_duplicates(hashes: DataFrame, key: str = "document_id", distance: int = DISTANCE) -> DataFrame:
-    """Rows (phash_a, first_a, phash_b, first_b, distance) of different hashes within ``distance`` bits.
+    """Rows (phash_a, first_a, phash_b, first_b, distance): for each hash the nearest earlier one within ``distance`` bits.
 
-    Copies of a hash are one row; ``first`` is the smallest key that has it. With distance + 1 bands one band of every
-    pair is equal, so an equality join on bands finds all; the pair is emitted in its first equal band only, and the
-    join itself tests the distance.
+    Copies of a hash are one row; ``first`` is the smallest key that has it, and earlier is that of a smaller one. Of
+    equally near hashes the earliest is told. Hashes are cut into so few segments that one of them differs in at most one
+    bit: then the one that has the bit, without it, equals the other's segment. The join tests the distance, and the
+    nearest is kept before the shuffle, so there is one row a hash, however many are near.
     """
     distinct = materialize(hashes.groupBy("phash").agg(F.min(key).alias("first")), "hashes")
-    cuts = [64 * i // (distance + 1) for i in range(distance + 2)]
-    bands = F.array(*(F.shiftrightunsigned("phash", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:], strict=False)))
-    each = distinct.select("phash", "first", bands.alias("bands")).select("*", F.posexplode("bands").alias("band", "value"))
-    a, b = (each.select("band", "value", *(F.col(c).alias(f"{c}_{s}") for c in ("phash", "first", "bands"))) for s in "ab")
-    apart = F.bit_count(F.col("phash_a").bitwiseXOR(F.col("phash_b")))
-    near = a.join(b, (a["band"] == b["band"]) & (a["value"] == b["value"]) & (F.col("phash_a") < F.col("phash_b")) & (apart <= distance))
-    band = a["band"]
-    first_band = ~F.exists(F.slice(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), F.lit(1), band), lambda x: x)
-    return near.filter(first_band).select("phash_a", "first_a", "phash_b", "first_b", apart.cast("int").alias("distance"))
+    n = max(2, distance // 2 + 1)
+    plain, reached = [], []
+    for i in range(n):
+        low, width = 64 * i // n, 64 * (i + 1) // n - 64 * i // n
+        part = F.shiftrightunsigned("phash", low).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(i << 32))
+        plain.append(part)
+        reached.append(F.concat(F.array(part), _without_one_bit(part, width)))
+    left = distinct.select(F.explode(F.array(*plain)).alias("slot"), F.struct("first", "phash").alias("x"))
+    right = distinct.select(F.explode(F.concat(*reached)).alias("slot"), F.struct("first", "phash").alias("y"))
+    apart = F.bit_count(F.col("x.phash").bitwiseXOR(F.col("y.phash")))
+    near = left.hint("merge").join(right, (left["slot"] == right["slot"]) & (F.col("x.phash") != F.col("y.phash")) & (apart <= distance))
+    ordered = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), apart.cast("int").alias("distance"))
+    best = ordered.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("m"))
+    return best.select(F.col("m.a.phash").alias("phash_a"), F.col("m.a.first").alias("first_a"), F.col("b.phash").alias("phash_b"), F.col("b.first").alias("first_b"), F.col("m.distance").alias("distance"))
 
 
 def vector_search(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", queries_at_once: int = 4096) -> DataFrame:

@@ -346,7 +346,8 @@ _SIGNED = "CASE WHEN {0} >= 9223372036854775808 THEN ({0}::HUGEINT - 18446744073
 s AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w),
 h AS (SELECT doc_id, ('0x' || substr(md5(array_to_string(w[i:i + 2], ' ')), 1, 16))::UBIGINT AS h FROM s),
 p AS (SELECT doc_id, {_BITS} AS p FROM h GROUP BY 1), d AS (SELECT {_SIGNED.format("p")} AS phash, p, min(doc_id) AS first FROM p GROUP BY ALL)
-SELECT a.phash AS phash_a, a.first AS first_a, b.phash AS phash_b, b.first AS first_b, bit_count(xor(a.p, b.p))::INTEGER AS distance FROM d a JOIN d b ON a.phash < b.phash AND bit_count(xor(a.p, b.p)) <= 5"""
+SELECT a.phash AS phash_a, a.first AS first_a, b.phash AS phash_b, b.first AS first_b, bit_count(xor(a.p, b.p))::INTEGER AS distance FROM d a JOIN d b ON a.first < b.first AND bit_count(xor(a.p, b.p)) <= 5
+QUALIFY row_number() OVER (PARTITION BY b.phash ORDER BY bit_count(xor(a.p, b.p)), a.first) = 1"""
 )
 def phash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = similarity.shingle_hashes(read_table(spark, sf_dir, "documents"), "doc_id", "text")

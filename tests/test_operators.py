@@ -88,16 +88,22 @@ def test_line_item_arithmetic_edges(spark):
     assert {r["document_id"]: r["status"] for r in validation.chk_line_item_arithmetic(lines).collect()} == {1: "pass", 2: "pass", 3: "pass", 4: "flag"}
 
 
-def test_near_duplicates_find_every_pair(spark):
+def test_near_duplicates_find_the_nearest_earlier(spark):
     import random
 
     rng = random.Random(1)
     base = [rng.getrandbits(64) for _ in range(15)]
     prints = sorted({p ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 7))) for p in base for _ in range(6)})
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    found = similarity.near_duplicates(spark.createDataFrame([(i, p) for i, p in enumerate(signed)] + [(99, signed[0])], "document_id long, phash long")).collect()
-    want = {frozenset((a, b)) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 5}
-    assert {frozenset((r["phash_a"], r["phash_b"])) for r in found} == want and len(found) == len(want)
+    rng.shuffle(signed)
+    for distance in (1, 3, 5):
+        found = similarity.near_duplicates(spark.createDataFrame([(i, p) for i, p in enumerate(signed)] + [(99, signed[0])], "document_id long, phash long"), distance=distance).collect()
+        want = {}
+        for j, b in enumerate(signed):
+            near = [(((a ^ b) & (2**64 - 1)).bit_count(), i) for i, a in enumerate(signed[:j])]
+            if near and min(near)[0] <= distance:
+                want[j] = min(near)
+        assert {r["first_b"]: (r["distance"], r["first_a"]) for r in found} == want and len(found) == len(want) > 0
 
 
 def test_records(spark):
