@@ -40,11 +40,23 @@ def audit_search(events: DataFrame, actors: DataFrame, text: str | None = None,
     return found.filter(F.lower("actor").contains(text.lower())) if text else found
 
 
+#: Windows over one user's events work on blocks of an hour; what joins the blocks is one row for each of them.
+BLOCK_SECONDS = 3600
+
+
+def time_block(ts: Column, seconds: int = BLOCK_SECONDS) -> Column:
+    """The number of the block of time of ``ts``; events without a time are in a block before all others."""
+    return F.coalesce(F.floor(F.unix_timestamp(ts) / seconds), F.lit(-(1 << 40)).cast("long"))
+
+
 def audit_excerpt(events: DataFrame, first: int) -> DataFrame:
-    """The first events of each user and how many more there are."""
-    w = W.partitionBy("user_id")
-    numbered = events.withColumn("place", F.row_number().over(w.orderBy("ts", "event_id"))).withColumn("n", F.count("*").over(w))
-    return numbered.filter(F.col("place") <= first).withColumn("truncated", F.greatest(F.col("n") - first, F.lit(0))).drop("n")
+    """The first events of each user and how many more there are.
+
+    Only the first few of a user leave a partition, and the counts are put together before they are shuffled.
+    """
+    top = events.withColumn("place", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))).filter(F.col("place") <= first)
+    n = events.groupBy(F.col("user_id").alias("__user")).agg(F.count("*").alias("__n"))
+    return top.join(n, F.col("user_id").eqNullSafe(F.col("__user"))).withColumn("truncated", F.greatest(F.col("__n") - first, F.lit(0))).drop("__user", "__n")
 
 
 def usage_true(events: DataFrame) -> DataFrame:
@@ -92,20 +104,37 @@ def peak_in_window(events: DataFrame, seconds: int) -> DataFrame:
 
 
 def fair_share_priority(events: DataFrame, bucket: int = 5, lowest: int = 9) -> DataFrame:
-    """Rows (event_id, user_id, outstanding, priority): tasks published less those finished before each publication."""
-    delta = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "purchase", -1).otherwise(F.when(F.col("event_type") == "click", 1).otherwise(0))
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
-    found = events.select("event_id", "user_id", "event_type", F.greatest(F.coalesce(F.sum(delta).over(w), F.lit(0)), F.lit(0)).alias("outstanding"))
-    return found.filter("event_type = 'click'").select("event_id", "user_id", "outstanding", F.least(F.lit(lowest), F.floor(F.col("outstanding") / bucket)).cast("long").alias("priority"))
+    """Rows (event_id, user_id, outstanding, priority): tasks published less those finished before each publication.
+
+    Sums run within blocks of time; what is outstanding when a block begins is the sum of the blocks before it. So the
+    events of a user who has very many are dealt out.
+    """
+    delta = F.when(F.col("event_type").isin("signup", "click"), 1).when(F.col("event_type") == "purchase", -1).otherwise(0)
+    steps = events.select("event_id", "user_id", "event_type", "ts", delta.alias("delta"), time_block(F.col("ts")).alias("block"))
+    sums = steps.groupBy("user_id", "block").agg(F.sum("delta").alias("delta"))
+    before = F.sum("delta").over(W.partitionBy("user_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    begun = sums.select(F.col("user_id").alias("__user"), F.col("block").alias("__block"), F.coalesce(before, F.lit(0)).alias("begun"))
+    within = F.sum("delta").over(W.partitionBy("user_id", "block").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1))
+    joined = steps.withColumn("within", within).filter("event_type = 'click'").join(begun, F.col("user_id").eqNullSafe(F.col("__user")) & (F.col("block") == F.col("__block")))
+    found = joined.select("event_id", "user_id", F.greatest(F.col("begun") + F.coalesce("within", F.lit(0)), F.lit(0)).alias("outstanding"))
+    return found.select("*", F.least(F.lit(lowest), F.floor(F.col("outstanding") / bucket)).cast("long").alias("priority"))
 
 
 def sessions_by_gap(events: DataFrame, seconds: int) -> DataFrame:
-    """Rows (user_id, session_no, started, n_events): a gap of over ``seconds`` begins a new session."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(w))
-    marked = events.withColumn("fresh", F.coalesce(gap > seconds, F.lit(True)).cast("int"))
-    numbered = marked.withColumn("session_no", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy("user_id", "session_no").agg(F.min("ts").alias("started"), F.count("*").alias("n_events"))
+    """Rows (user_id, session_no, started, n_events): a gap of over ``seconds`` begins a new session.
+
+    Events are cut into sessions within blocks of time first; only these pieces, few of which a user can have, meet
+    in a window over the whole user.
+    """
+    inside = W.partitionBy("user_id", "block").orderBy("ts", "event_id")
+    gap = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(inside))
+    marked = events.select("user_id", "event_id", "ts", time_block(F.col("ts")).alias("block")).withColumn("fresh", F.coalesce(gap > seconds, F.lit(True)).cast("int"))
+    numbered = marked.withColumn("piece", F.sum("fresh").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    pieces = numbered.groupBy("user_id", "block", "piece").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("n_events"))
+    whole = W.partitionBy("user_id").orderBy("block", "piece")
+    apart = F.unix_timestamp("started") - F.unix_timestamp(F.lag("ended").over(whole))
+    joined = pieces.withColumn("fresh", F.coalesce(apart > seconds, F.lit(True)).cast("int")).withColumn("session_no", F.sum("fresh").over(whole.rowsBetween(W.unboundedPreceding, 0)))
+    return joined.groupBy("user_id", "session_no").agg(F.min("started").alias("started"), F.sum("n_events").alias("n_events"))
 
 
 def check_coverage(cases: DataFrame, checks: DataFrame, kinds: DataFrame) -> DataFrame:

@@ -41,9 +41,21 @@ def approval_gate(scores: DataFrame, progress: DataFrame) -> DataFrame:
     return joined.select("case_id", F.when(F.coalesce("total", F.lit(0)) == 0, "no_documents").when(F.col("finished") < F.col("total"), "pipeline_incomplete").when(F.col("tier") == "high", "high_risk").alias("blocked_by"))
 
 
-def numbered(rows: DataFrame, group: str, prefix: str, *order: str) -> DataFrame:
-    """``rows`` with ``region_id``: R1, R2, ... within each group in the given order, which must tell rows apart."""
-    return rows.withColumn("region_id", F.concat(F.lit(prefix), F.row_number().over(W.partitionBy(group).orderBy(*order)).cast("string")))
+def numbered(rows: DataFrame, group: str, prefix: str, *order: str, block: Column | None = None) -> DataFrame:
+    """``rows`` with ``region_id``: R1, R2, ... within each group in the given order, which must tell rows apart.
+
+    ``block``, which never falls in that order and is never null, cuts groups that may be very large: rows are numbered
+    within a block, and those of the blocks before are added.
+    """
+    if block is None:
+        return rows.withColumn("region_id", F.concat(F.lit(prefix), F.row_number().over(W.partitionBy(group).orderBy(*order)).cast("string")))
+    cut = rows.withColumn("__block", block)
+    n = cut.groupBy(F.col(group).alias("__g"), F.col("__block").alias("__b")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("__g").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    begun = n.select("__g", "__b", before.alias("__before"))
+    placed = cut.withColumn("__place", F.row_number().over(W.partitionBy(group, "__block").orderBy(*order)))
+    joined = placed.join(begun, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__block") == F.col("__b")))
+    return joined.withColumn("region_id", F.concat(F.lit(prefix), (F.col("__before") + F.col("__place")).cast("string"))).select(*rows.columns, "region_id")
 
 
 def top_rows(rows: DataFrame, group: str, n: int, *order: Column) -> DataFrame:
@@ -74,3 +86,28 @@ def signal_intersection(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFram
 
 def key_union(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.select(*keys).union(b.select(*keys)).distinct()
+
+
+def report_check_rows(sub_checks: DataFrame, rules: DataFrame) -> DataFrame:
+    """Every check of every document with its outcome and the weight of the heaviest rule that it fires, 0 for none."""
+    heaviest = rules.filter("status = 'flag'").groupBy("sub_check").agg(F.max("weight").alias("weight"))
+    joined = sub_checks.join(heaviest, "sub_check", "left")
+    weight = F.when(F.col("status") == "flag", F.coalesce("weight", F.lit(0.0))).otherwise(0.0)
+    return joined.select("company_id", "case_id", "document_id", F.col("sub_check").alias("check_type"), F.col("status").alias("outcome"), weight.alias("weight"))
+
+
+def report_field_rows(documents: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """Rows (keys, field, value): the fields (strings) of each document that have a value."""
+    return documents.unpivot(keys, fields, "field", "value").filter("value IS NOT NULL")
+
+
+def report_case(scores: DataFrame, documents: DataFrame, sub_checks: DataFrame) -> DataFrame:
+    """One row for each case: score, tier and reasons, its documents and dates, and how its checks came out.
+
+    Each section is one small row for a case before the joins, so that a case of any size is never one list.
+    """
+    held = documents.groupBy("case_id").agg(F.count("*").alias("n_documents"), F.min("document_date").alias("first_date"), F.max("document_date").alias("last_date"))
+    n = lambda s: F.count_if(F.col("status") == s)
+    found = sub_checks.groupBy("case_id").agg(n("flag").alias("n_flagged"), n("skipped").alias("n_skipped"))
+    joined = scores.select("case_id", "score", "tier", "reasons").join(held, "case_id", "left").join(found, "case_id", "left")
+    return joined.fillna(0, ["n_documents", "n_flagged", "n_skipped"])

@@ -72,8 +72,9 @@ def sub_checks(documents: DataFrame, checked: dict[str, DataFrame]) -> DataFrame
     return documents.select("company_id", "case_id", "document_id").join(out, "document_id")
 
 
-def document_checks(documents: DataFrame, lines: DataFrame, today: str) -> DataFrame:
-    """Five checks of every document in one pass over the lines: rows (document_id, sub_check, status).
+def document_checks(documents: DataFrame, lines: DataFrame, today: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Five checks of every document in one pass over the lines: rows (keep, document_id, sub_check, status), with the
+    columns ``keep`` of ``documents``.
 
     ``lines`` (document_id, quantity, unit_price, discount, total, tax_rate, line_date) are aggregated once for all
     measures, and the result meets ``documents`` (document_id, total_amount, document_date) in one join. A check that a
@@ -90,7 +91,7 @@ def document_checks(documents: DataFrame, lines: DataFrame, today: str) -> DataF
         F.max("tax_rate").alias("top_rate"),
         F.min("line_date").alias("first_date"),
     )
-    d = documents.select("document_id", "total_amount", "document_date").join(measures, "document_id", "left")
+    d = documents.select(*keep, "document_id", "total_amount", "document_date").join(measures, "document_id", "left")
     apart = F.abs(F.col("line_sum") - F.col("total_amount"))
     checks = {
         "line_item_arithmetic": F.when(F.col("n_priced") > 0, status(F.col("n_wrong") > 0)),
@@ -100,4 +101,37 @@ def document_checks(documents: DataFrame, lines: DataFrame, today: str) -> DataF
         "tax_rate": F.when(F.col("n") > 0, status(F.col("low_rate") < F.col("top_rate"))),
     }
     rows = F.array(*(F.struct(F.lit(k).alias("sub_check"), c.alias("status")) for k, c in checks.items()))
-    return d.select("document_id", F.explode(rows).alias("c")).select("document_id", "c.sub_check", "c.status").filter("status IS NOT NULL")
+    return d.select(*keep, "document_id", F.explode(rows).alias("c")).select(*keep, "document_id", "c.sub_check", "c.status").filter("status IS NOT NULL")
+
+
+def chk_installments(lines: DataFrame, near: float = 0.2) -> DataFrame:
+    """Rows (document_id, split, parent, status) of lines (document_id, total, is_part): two instalments or more add up to
+    the line that they split.
+
+    That line is one whose total is their sum, or else the largest other, if it is no smaller than any instalment
+    and within ``near`` of the sum; then the document is flagged. Without such a line it is skipped.
+    """
+    exact = lambda c: F.sum(F.when(c, F.col("total").cast("decimal(18,4)"))).cast("double")
+    parts = lines.groupBy("document_id").agg(F.count_if("is_part").alias("n"), exact(F.col("is_part")).alias("split"), F.max(F.when(F.col("is_part"), F.col("total"))).alias("largest"))
+    others = lines.filter("NOT is_part").select("document_id", "total").join(parts.filter("n >= 2"), "document_id")
+    hit = F.abs(F.col("total") - F.col("split")) <= rounding_allowance(F.col("n"))
+    found = others.groupBy("document_id").agg(F.min(F.when(hit, F.col("total"))).alias("exact"), F.max("total").alias("other"))
+    joined = parts.join(found, "document_id", "left")
+    close = (F.col("other") >= F.col("largest")) & (F.abs(F.col("other") - F.col("split")) <= near * F.col("other"))
+    verdict = F.when(F.col("exact").isNotNull(), "pass").when(close, "flag").otherwise("skipped")
+    return joined.select("document_id", "split", F.coalesce("exact", F.when(close, F.col("other"))).alias("parent"), verdict.alias("status"))
+
+
+def chk_period_quantity(lines: DataFrame) -> DataFrame:
+    """Rows (document_id, n_checked, n_wrong, status) of lines (document_id, quantity, n_due): as many months charged as are
+    listed as due; lines that list none aren't checked."""
+    due = (F.col("n_due") > 0) & F.col("quantity").isNotNull()
+    wrong = due & (F.abs(F.col("quantity") - F.col("n_due")) >= SLACK)
+    n = lines.groupBy("document_id").agg(F.count_if(due).alias("n_checked"), F.count_if(wrong).alias("n_wrong"))
+    return n.withColumn("status", status(F.col("n_wrong") > 0, F.col("n_checked") > 0))
+
+
+def chk_identifiers(printed: DataFrame) -> DataFrame:
+    """Rows (document_id, n, n_bad, status) of printed identifiers (document_id, verdict), of which all should be valid."""
+    n = printed.groupBy("document_id").agg(F.count("verdict").alias("n"), F.count_if(F.col("verdict") != "valid").alias("n_bad"))
+    return n.withColumn("status", status(F.col("n_bad") > 0, F.col("n") > 0))

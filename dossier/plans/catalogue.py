@@ -46,10 +46,9 @@ def rules(spark: SparkSession) -> DataFrame:
 
 
 def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    found = validation.document_checks(docs, lines(spark, sf_dir, "left"), TODAY)
-    owned = docs.join(cases(spark, sf_dir).select("company_id", "case_id"), "case_id").select("company_id", "case_id", "document_id")
-    return owned.join(found, "document_id")
+    owned = documents(spark, sf_dir).join(cases(spark, sf_dir).select("company_id", "case_id"), "case_id")
+    found = validation.document_checks(owned, lines(spark, sf_dir, "left"), TODAY, ("company_id", "case_id"))
+    return found.select("company_id", "case_id", "document_id", "sub_check", "status")
 
 
 _ARITHMETIC = """SELECT l_orderkey AS document_id, count(*) AS n_lines,

@@ -56,7 +56,8 @@ def approval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT o_custkey AS case_id, o_orderkey AS document_id, 'R' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS region_id FROM orders")
 def region_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reporting.numbered(documents(spark, sf_dir), "case_id", "R", "document_date", "document_id").select("case_id", "document_id", "region_id")
+    month = operations.time_block(F.col("document_date"), 30 * 86400)
+    return reporting.numbered(documents(spark, sf_dir), "case_id", "R", "document_date", "document_id", block=month).select("case_id", "document_id", "region_id")
 
 
 @register("SELECT o_custkey AS case_id, o_orderkey AS document_id, o_totalprice AS total_amount FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3")

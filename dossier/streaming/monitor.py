@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -123,3 +123,71 @@ def queue_depth(events: DataFrame) -> DataFrame:
     """Per user the tasks that came and those that ended, and how many wait; state is two numbers a user."""
     n = events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("came"), F.count_if(F.col("event_type") == "purchase").alias("ended"))
     return n.withColumn("waiting", F.greatest(F.col("came") - F.col("ended"), F.lit(0)))
+
+
+def queue_alert(waiting: DataFrame, now: str, seconds: int, queue: str = "queue", since: str = "enqueued") -> DataFrame:
+    """Queues whose oldest waiting task is older than ``seconds`` at ``now``; state is one time for each queue."""
+    oldest = waiting.groupBy(queue).agg(F.min(since).alias("oldest"))
+    age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("oldest")
+    return oldest.withColumn("age", age).filter(F.col("age") > seconds)
+
+
+def token_cutoff(events: DataFrame, cutoffs: DataFrame, issued: str = "ts") -> DataFrame:
+    """Events with a token that was issued before the latest cut-off (user_id, cutoff) of its user. The stream meets a
+    table that is read anew with each batch; it keeps no state."""
+    latest = cutoffs.groupBy("user_id").agg(F.max("cutoff").alias("cutoff"))
+    return events.join(latest, "user_id").filter(F.col(issued) < F.col("cutoff"))
+
+
+def run_batches(stream: DataFrame, label: str, put: Callable[[DataFrame, int], None], limit_s: int = 600) -> None:
+    """Give each micro-batch of what there is now to ``put``, which must do the same again if a batch comes twice."""
+    query = stream.writeStream.option("checkpointLocation", new_path(stream.sparkSession, f"{label}-state")).trigger(availableNow=True).foreachBatch(put).start()
+    began = time.time()
+    while query.isActive and time.time() - began < limit_s:
+        query.awaitTermination(5)
+    if query.isActive:
+        query.stop()
+        raise TimeoutError(f"{label} did not end in {limit_s} s")
+    if error := query.exception():
+        raise error
+
+
+def rescore(finished: DataFrame, assess: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
+    """Assessments (case_id, fingerprint, more: ``schema``) that a stream of finished checks asks for.
+
+    Each batch names its distinct cases to ``assess``; an assessment whose evidence is that of a stored one is not
+    stored again. A batch writes its own subfolder, so one that comes twice leaves one result.
+    """
+    spark = finished.sparkSession
+    path = new_path(spark, "assessments")
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        wanted = assess(batch.select("case_id").distinct())
+        stored = spark.read.schema(schema).parquet(*(f"{path}/batch={i}" for i in (-1, *range(epoch))))
+        wanted = wanted.join(stored.select("case_id", "fingerprint"), ["case_id", "fingerprint"], "left_anti")
+        wanted.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+
+    spark.createDataFrame([], schema).write.parquet(f"{path}/batch=-1")
+    run_batches(finished, "rescore", put)
+    return spark.read.schema(schema).parquet(f"{path}/batch=*")
+
+
+def late_evidence(results: DataFrame, keys: list[str], newest: str) -> DataFrame:
+    """The newest result of each key of a stream in which later evidence changes earlier results.
+
+    A batch is reduced to one row for each of its keys and written to its own subfolder; the reader keeps the newest
+    of all batches, so what comes late or twice changes nothing else.
+    """
+    spark, columns = results.sparkSession, results.columns
+    path = new_path(spark, "late")
+
+    def last(rows: DataFrame) -> DataFrame:
+        one = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.col(newest)).alias("last_row"))
+        return one.select(*(F.col("last_row").getField(c).alias(c) for c in columns))
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        last(batch).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+
+    spark.createDataFrame([], results.schema).write.parquet(f"{path}/batch=-1")
+    run_batches(results, "late", put)
+    return last(spark.read.schema(results.schema).parquet(f"{path}/batch=*").select(*columns))

@@ -191,3 +191,89 @@ def test_amount_outliers_count_every_pair(spark):
         if far:
             want[i] = (len(low), len(high), max(low, default=None), min(high, default=None))
     assert got == want and {1, 3} <= set(got) and 2 not in got
+
+
+def test_addresses(spark):
+    from dossier.functions import text as fn
+
+    rows = [
+        ("12, Lake Rd., Pune 411001", "12 lake road pune 411001", "harmless"),
+        ("12 Lake Road, Pune", "12 lake road pune", "match"),
+        ("12 Lake Road, Pune", "14 Lake Road, Pune", "low"),
+        ("12 Lake Road, Pune", "Flat 3, 12 Lake Road, Pune", "harmless"),
+        ("12 Lake Road, Pune", "12 Lake Road, Nagpur", "medium"),
+        ("12 Lake Road 411001", "12 Lake Road 411002", "medium"),
+        ("Krishnapuram, Chennai", "Krishnapurma, Chennai", "harmless"),
+        ("", "12 Lake Road", None),
+        (None, "12 Lake Road", None),
+    ]
+    got = spark.createDataFrame(rows, "a string, b string, want string").select("want", fn.compare_addresses(F.col("a"), F.col("b")).alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
+def test_values_read_from_print(spark):
+    from dossier.functions import text as fn
+
+    rows = [("D:2025", "2025-01-01 00:00:00"), ("D:20240229120501-03'30'", "2024-02-29 15:35:01"), ("D:20240229120501Z", "2024-02-29 12:05:01"), ("D:20241303", None), ("2025", None), (None, None)]
+    got = spark.createDataFrame(rows, "t string, want string").select("want", fn.pdf_date(F.col("t")).cast("string").alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+    rows = [("2024-02-29T12:05:01-03:30", "2024-02-29 15:35:01"), ("2024-02-29T12:05:01", "2024-02-29 12:05:01"), ("2024-02-29", "2024-02-29 00:00:00"), ("soon", None), (None, None)]
+    got = spark.createDataFrame(rows, "t string, want string").select("want", fn.xmp_date(F.col("t")).cast("string").alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+    rows = [("1O,5D0.25", 10500.25), ("27,450,00", 27450.0), ("1,234", 1234.0), ("-7", -7.0), ("total", None), ("", None), (None, None), ("1.2.3", None)]
+    got = spark.createDataFrame(rows, "t string, want double").select("want", fn.cell_amount(F.col("t")).alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+    got = spark.sql("SELECT 'Jan-February, (Sept.) and Dec dues' AS t").select(fn.months_in_text(F.col("t")).alias("m")).first()
+    assert got["m"] == [1, 2, 9, 12]
+
+
+def test_blocks_of_time_change_nothing(spark):
+    """Sums and sessions that cross hours, equal times, events without a time and without a user."""
+    from dossier.operators import operations, reporting
+
+    rng = random.Random(3)
+    kinds = ("signup", "click", "purchase", "view")
+    rows = [(i, rng.choice((1, 2, None)), rng.choice(kinds), None if i % 17 == 0 else 1_700_000_000 + rng.randint(0, 20) * 900) for i in range(300)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    by_user: dict = {}
+    for i, user, kind, s in sorted(rows, key=lambda r: (r[3] is not None, r[3] or 0, r[0])):
+        by_user.setdefault(user, []).append((i, kind, s))
+    want, sessions, places = set(), {}, set()
+    for user, own in by_user.items():
+        total, last, no = 0, None, 0
+        for at, (i, kind, s) in enumerate(own, 1):
+            places.add((i, f"R{at}"))
+            if kind == "click":
+                want.add((i, user, max(total, 0), min(9, max(total, 0) // 5)))
+            total += {"signup": 1, "click": 1, "purchase": -1}.get(kind, 0)
+            no += last is None or s is None or s - last > 1200
+            last = s
+            sessions[user, no] = sessions.get((user, no), 0) + 1
+    assert {tuple(r) for r in operations.fair_share_priority(events).collect()} == want
+    assert {(r["user_id"], r["session_no"]): r["n_events"] for r in operations.sessions_by_gap(events, 1200).collect()} == sessions
+    numbered = reporting.numbered(events, "user_id", "R", "ts", "event_id", block=operations.time_block(F.col("ts"), 1800))
+    assert {(r["event_id"], r["region_id"]) for r in numbered.collect()} == places
+    excerpt = operations.audit_excerpt(events.drop("s"), 3).collect()
+    assert sorted((r["user_id"] or 0, r["place"], r["truncated"]) for r in excerpt) == sorted((u or 0, p, len(own) - 3) for u, own in by_user.items() for p in (1, 2, 3))
+
+
+def test_rules_of_five_kinds(spark):
+    from dossier.operators import evidence
+
+    docs = spark.createDataFrame([(1, 10, 100), (1, 10, 101), (2, 20, 200)], "company_id long, case_id long, document_id long")
+    finding = spark.createDataFrame([(100, "metadata", "x", "high", 1, "second"), (100, "metadata", "x", "high", 0, "first"), (101, "metadata", "y", "low", 0, None), (200, "metadata", None, "high", 0, None)], "document_id long, check_type string, name string, severity string, idx int, note string")
+    sub = spark.createDataFrame([(100, "fields", "sum", "pass"), (101, "fields", "sum", "flag")], "document_id long, check_type string, name string, severity string")
+    cross = spark.createDataFrame([(1, 10, "full_name", "critical", "conflict", "dismissed"), (2, 20, "full_name", "critical", "conflict", None)], "company_id long, case_id long, name string, severity string, classification string, review_status string")
+    rules = spark.createDataFrame(
+        [("a", "finding", "metadata", ["x"], None, 10.0, True), ("b", "finding", None, None, ["high"], 5.0, False), ("c", "sub_check", "fields", ["sum"], None, 7.0, True), ("d", "cross_document", None, ["full_name"], ["critical"], 60.0, True)],
+        "rule_id string, kind string, check_type string, names array<string>, severities array<string>, weight double, is_active boolean",
+    )
+    found = evidence.gather_evidence(docs, finding=finding, sub_check=sub, cross_document=cross)
+    hits = evidence.hits_by_document(found, rules)
+    assert {(r["case_id"], r["rule_id"], r["document_id"], r["n"], r["first_note"]) for r in hits.collect()} == {(10, "a", 100, 2, "first"), (10, "b", 100, 2, "first"), (20, "b", 200, 1, None), (10, "c", 101, 1, None), (20, "d", None, 1, None)}
+    assert {(r["case_id"], r["rule_id"], r["n_documents"]) for r in evidence.active_hits(hits).collect()} == {(10, "a", 1), (10, "c", 1), (20, "d", 1)}
+    assert evidence.uncovered(found, rules.filter("rule_id = 'a'")).collect()[0]["n"] == 1
+    cases = docs.select("case_id").distinct().union(spark.createDataFrame([(30,)], "case_id long"))
+    prints = {r["case_id"]: r["fingerprint"] for r in evidence.document_fingerprint(cases, docs, hits).collect()}
+    again = {r["case_id"]: r["fingerprint"] for r in evidence.document_fingerprint(cases, docs.filter("document_id <> 101"), hits).collect()}
+    assert len(set(prints.values())) == 3 and {c for c in prints if prints[c] != again[c]} == {10}
