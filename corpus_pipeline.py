@@ -12,29 +12,44 @@ from dossier.llm import decontaminate, packing, quality, secret_scan, simhash
 from dossier.storage import Scratch, new_path, read_table
 
 
+#: A session setting: the folder of a blob ledger that several runs share. Where it is unset, each run has its own.
+LEDGER_SETTING = "spark.dossier.ledger"
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the discriminant rejects go; it is fitted on the labelled rows of ``docs``."""
+    """Documents that the discriminant rejects go; it is fitted on the labelled rows of ``docs``.
+
+    Null and empty texts are scored as texts without words, repeated rows alike. Without labels nothing is rejected.
+    """
     return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
+    """One document of each group of near-duplicates stays, the one with the smallest doc_id.
+
+    Texts without words are no copies of each other; see ``deduplicate`` for null ids and repeated rows.
+    """
     return simhash.deduplicate(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go; null and empty texts contain none, and none go without a benchmark."""
     return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by their kind; all documents stay."""
-    return secret_scan.redact_secrets(docs, secret_scan.BlobLedger(spark, new_path(spark, "ledger")))
+    """Secrets are replaced by their kind; all documents stay.
+
+    With a shared ledger (``LEDGER_SETTING``) only texts that no earlier run has seen are scanned; the result is the same.
+    """
+    ledger = spark.conf.get(LEDGER_SETTING, None) or new_path(spark, "ledger")
+    return secret_scan.redact_secrets(docs, secret_scan.BlobLedger(spark, ledger))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset) of the packed pieces of all documents."""
-    return packing.pack_documents(docs)
+    """Rows (doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset) of the packed pieces of all documents: the
+    token ids of a sequence are those of its pieces by offset. An empty text is its end token alone."""
+    return packing.pack_documents(docs, keep_ids=True)
 
 
 STAGES = [

@@ -228,7 +228,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """The rows of ``docs`` that contain no item, with all their columns.
 
     A row is told by its id and a hash of its text, so that of rows with equal or null ids only those go that contain
-    an item.
+    an item. Null and empty texts contain none and stay, as all rows do if the benchmark is empty; an empty table gives
+    no rows. A similarity of just the threshold is enough.
     """
     row, rid = scratch_name(docs, "row"), scratch_name(docs, "rid")
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"))

@@ -169,7 +169,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
+    """The rows of ``docs`` that score ``threshold`` or more (ties stay), with all their columns.
+
+    Null and empty texts are scored as texts without words; repeated rows get one score and stay or go together. Without
+    any label every score is 0.5. An empty table gives no rows.
+    """
     x = scratch_name(docs, "x")
     measured = statistics(docs, F.col(text_col), x)
     model = fit_on(measured, labels, id_col, x)

@@ -137,7 +137,7 @@ def redact_secrets(docs: DataFrame, ledger: BlobLedger, text_col: str = "text",
     """``docs`` with every secret replaced by its kind in angle brackets; overlapping ones become one.
 
     No row goes and no other column changes, except that ``length_col``, where ``docs`` has it, holds the length of a
-    changed text. Null texts stay null.
+    changed text. Null texts stay null, repeated rows stay repeated, an empty table gives no rows.
     """
     blob, spans = scratch_name(docs, "blob"), scratch_name(docs, "spans")
     address = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -66,3 +68,30 @@ def test_edges(spark, edge_docs, clashing, empty_docs):
     assert {r["doc_id"] % 3 > 0 for r in kept.collect()} == {True}
     assert quality.keep_good(clashing, labels).columns == clashing.columns
     assert quality.keep_good(empty_docs, labels).count() == 0
+
+
+def plain_statistics(text):
+    """The statistics of one text, one loop for each."""
+    text = text or ""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, chars = len(w), sum(map(len, w))
+    rate = lambda x: math.log1p(10 * x / (n + 5))
+    count = lambda marks: sum(c in marks for c in text)
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    stutter = sum(a == b for a, b in zip(w, w[1:], strict=False))
+    return [
+        math.log1p(n), math.log1p(chars / max(n, 1)), math.log1p(len(set(w))) / max(math.log1p(n), 0.5), rate(count("#*$%&<>")), rate(count("|")), rate(count("!")),
+        rate(count(upper)), rate(count(digits)), rate(stutter), math.log1p(len(lines) - len(set(lines))), rate(count(".,")),
+    ]
+
+
+def test_statistics_against_plain_loops(spark, edge_docs):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    parts = ["a", "Bé", "#", "$$", "|", "!", "12", ".", ",", " ", "  ", "\n", "\n\n", "\t", "the the", "😀", "\x0b"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").union(edge_docs.select("doc_id", "text"))
+    for r in quality.statistics(docs, F.col("text"), "x").collect():
+        assert np.allclose(r["x"], plain_statistics(r["text"]), atol=1e-9), r["text"]
