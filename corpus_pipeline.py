@@ -47,9 +47,9 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset) of the packed pieces of all documents: the
-    token ids of a sequence are those of its pieces by offset. An empty text is its end token alone."""
-    return packing.pack_documents(docs, keep_ids=True)
+    """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset) of the packed pieces of all documents; an empty
+    text is its end token alone. ``pack_documents`` gives the token ids too with ``keep_ids``."""
+    return packing.pack_documents(docs)
 
 
 STAGES = [

@@ -86,7 +86,7 @@ def plain_redaction(text):
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="no test data")
 def test_pipeline_against_plain_loops(spark):
-    """Every stage's rows and the packed ids, by loops over all documents, pairs and windows of the smallest tables."""
+    """Every stage's rows and the ids that the pieces stand for, by loops over all documents, pairs and windows of the smallest tables."""
     docs = {r["doc_id"]: r["text"] for r in read_table(spark, SF, "documents").collect()}
     labels = [(r["doc_id"], r["quality"]) for r in read_table(spark, SF, "labels").collect()]
     items = [(r["item_id"], r["text"]) for r in read_table(spark, SF, "benchmark").collect()]
@@ -99,17 +99,20 @@ def test_pipeline_against_plain_loops(spark):
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for r in packed:
         pieces[r["doc_id"]].append(r)
-        sequences[r["sequence_id"]].append((r["offset"], r["ids"]))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
     assert set(pieces) == set(clean)
     encoder = packing._encoder(packing.default_tokenizer_path(), packing.default_ranks_path())
     for i, own in pieces.items():
-        ids = [x for p in sorted(own, key=lambda p: p["piece"]) for x in p["ids"]]
-        assert ids == [*encoder.exact.encode(clean[i], add_special_tokens=False).ids, 2]
+        ids, at = np.asarray([*encoder.exact.encode(clean[i], add_special_tokens=False).ids, 2], dtype="<u4"), 0
+        for p in sorted(own, key=lambda p: p["piece"]):
+            assert p["start"] == at and p["ids_crc32"] == zlib.crc32(ids[at : at + p["length"]].tobytes())
+            at += p["length"]
+        assert at == len(ids)
     for parts in sequences.values():
         at = 0
-        for offset, ids in sorted(parts):
+        for offset, length in sorted(parts):
             assert offset == at
-            at += len(ids)
+            at += length
         assert at <= 1024
 
 
