@@ -12,6 +12,7 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -60,9 +61,7 @@ class Encoder:
     """
 
     def __init__(self, tokenizer_path: str, ranks_path: str | None) -> None:
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer_path = tokenizer_path
         self.fast = None
         if ranks_path:
             import public_tokenizers
@@ -72,6 +71,13 @@ class Encoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def exact(self):
+        """Read when first asked for: a worker that meets usual texts alone never holds these tables."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.tokenizer_path)
+
     def part(self, text: str) -> bytes:
         if self.fast is None or _UNUSUAL.search(text) or SPECIAL in text:
             return np.asarray(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -135,7 +141,7 @@ def tokenize_pieces(
             at = 0
             while at < len(texts):
                 upto, size = at, 0
-                while upto < len(texts) and (upto == at or size < 4_000_000):  # very long texts go alone
+                while upto < len(texts) and (upto == at or size < 1_000_000):  # very long texts go alone
                     size += sizes[upto]
                     upto += 1
                 rows, n, start, length, crc, kept = [], [], [], [], [], []
