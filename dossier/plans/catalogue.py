@@ -364,9 +364,28 @@ def photo_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.vector_search(rows.filter("vec_id % 50 = 0"), rows, 10)
 
 
-@register(r"SELECT doc_id, regexp_replace(text, '\b(?:[X0-9]{4}\x20[X0-9]{4}\x20[0-9]{4}|[A-Z]{1,3}[0-9]{7}|[A-Z]{2}[0-9]{2}\x20[0-9]{11})\b', '[ID_NUMBER]', 'g') AS masked FROM documents")
+_GAP = r"(?:\x02[ -]\x01)?"
+_SHAPES_SQL = f"[A-Z]{{2}}{_GAP}[0-9]{{2}}{_GAP}(?:19|20)[0-9]{{2}}{_GAP}[0-9]{{7}}|(?:[0-9Xx*#]{{4}}{_GAP}){{2}}[0-9]{{4}}|[A-Z]{{5}}[0-9]{{4}}[A-Z]|[A-Z]{{3}}[0-9]{{7}}|[A-Z][0-9]{{7}}"
+
+
+@register(
+    rf"""WITH p AS (SELECT doc_id, text || chr(10) || upper(substr(source, 1, 3)) || lpad(CAST(doc_id % 7 AS VARCHAR), 7, '1') || ' ' || lpad(CAST(doc_id AS VARCHAR), 4, '2') || '-3333 4444, P' || lpad(CAST(doc_id % 7 AS VARCHAR), 7, '5') || '/P' || lpad(CAST(doc_id % 3 AS VARCHAR), 7, '5') || ' X12345678' AS text FROM documents),
+m AS (SELECT doc_id, regexp_replace(text, '([A-Za-z0-9*#]+)', chr(1) || '\1' || chr(2), 'g') AS t FROM p),
+f AS (SELECT doc_id, regexp_extract_all(t, '\x01(?:{_SHAPES_SQL})\x02') AS found, string_split_regex(t, '\x01(?:{_SHAPES_SQL})\x02') AS rest FROM m),
+n AS (SELECT *, list_filter(found, lambda x, i: list_position(found, x) = i) AS numbers FROM f)
+SELECT doc_id, translate(array_to_string(list_transform(rest, lambda r, i: r || CASE WHEN i <= len(found) THEN '[ID_NUMBER_' || list_position(numbers, found[i]) || ']' ELSE '' END), ''), chr(1) || chr(2), '') AS masked, len(numbers) AS n_numbers, true AS restored FROM n"""
+)
 def mask_id_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", fn.mask_id_numbers(F.col("text")).alias("masked"))
+    """Texts with a line of numbers of three shapes, of which the last is one digit too long; the numbers go back as well."""
+    docs, key = read_table(spark, sf_dir, "documents"), F.col("doc_id")
+    digits = lambda c, n, fill: F.lpad(c.cast("string"), n, fill)
+    line = F.concat(
+        F.lit("\n"), F.upper(F.substring("source", 1, 3)), digits(key % 7, 7, "1"), F.lit(" "), digits(key, 4, "2"), F.lit("-3333 4444, P"),
+        digits(key % 7, 7, "5"), F.lit("/P"), digits(key % 3, 7, "5"), F.lit(" X12345678"),
+    )
+    printed = docs.select("doc_id", F.concat("text", line).alias("text")).withColumns({"masked": fn.mask_id_numbers(F.col("text")), "numbers": fn.id_numbers(F.col("text"))})
+    same = fn.restore_id_numbers(F.col("masked"), F.col("numbers")) == F.col("text")
+    return printed.select("doc_id", "masked", F.size("numbers").alias("n_numbers"), same.alias("restored"))
 
 
 @register("SELECT c_custkey AS case_id, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) AS label FROM customer")

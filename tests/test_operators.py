@@ -45,8 +45,15 @@ def test_comparers(spark):
 
 
 def test_mask_id_numbers(spark):
-    cases = {"id 1234 5678 9012.": "id [ID_NUMBER].", "XXXX XXXX 9012": "[ID_NUMBER]", "ABC1234567": "[ID_NUMBER]", "K1234567": "[ID_NUMBER]", "MP09 20110012345": "[ID_NUMBER]", "Mobile: 9876543210": "Mobile: 9876543210", "IC/2026/004417": "IC/2026/004417", "12/04/1991": "12/04/1991"}
+    cases = {
+        "id 1234 5678 9012.": "id [ID_NUMBER_1].", "XXXX XXXX 9012": "[ID_NUMBER_1]", "ABC1234567": "[ID_NUMBER_1]", "K1234567": "[ID_NUMBER_1]", "MP09 20110012345": "[ID_NUMBER_1]",
+        "Q7654321 or ABCDE1234F, again Q7654321": "[ID_NUMBER_1] or [ID_NUMBER_2], again [ID_NUMBER_1]", "AK1234567 Q76543210": "AK1234567 Q76543210", "K1234567/K1234567": "[ID_NUMBER_1]/[ID_NUMBER_1]",
+        "Mobile: 9876543210": "Mobile: 9876543210", "IC/2026/004417": "IC/2026/004417", "12/04/1991": "12/04/1991", "": "", None: None,
+    }
     assert column(spark, fn.mask_id_numbers, list(cases)) == list(cases.values())
+    back = spark.createDataFrame([("no [ID_NUMBER_2], id number 1", ["K1", "Q2"]), ("[ID_NUMBER_3]", ["K1"]), ("a [ID_NUMBER_9]b", ["K1"]), ("plain", [])], "t string, n array<string>")
+    # the placeholder's fixed pattern takes white space before a mark without a bracket
+    assert [r[0] for r in back.select(fn.restore_id_numbers(F.col("t"), F.col("n"))).collect()] == ["no Q2,K1", None, "a b", "plain"]
 
 
 def test_small_text_functions(spark):
