@@ -13,6 +13,7 @@ Equal fingerprints are one row before any join, so thousands of copies cost as m
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,7 @@ def simhash(words: list[bytes], size: int, n_words: int = 1) -> list[int]:
 
     def blocks() -> Iterator[np.ndarray]:
         while True:
-            yield np.array([xxhash.xxh64_intdigest(s, SEED) for s, _ in zip(rest, range(HASHES_AT_ONCE), strict=False)], np.uint64)
+            yield np.array([xxhash.xxh64_intdigest(s, SEED) for s in islice(rest, HASHES_AT_ONCE)], np.uint64)
 
     return print_of(blocks(), n_words)
 
@@ -359,7 +360,7 @@ def deduplicate(
     every such pair is found. The 64-bit fingerprints of these sets are joined by one-wildcard segment variants within
     ``radius``, each with a few leaders of a segment; prefixes of the shingle sets then give the candidates among texts
     that are not together yet, so that no pair is lost and a large group's own pairs are never made. Every candidate's
-    similarity is computed exactly. Texts with the same words (case of A-Z and white space apart) always are copies. Rows
+    similarity is that of all its shingles, told apart by 32 bits of their hashes (see ``_shingle_hashes``). Texts with the same words (case of A-Z and white space apart) always are copies. Rows
     without words (null, empty or blank text) are no copies of each other and stay. Rows with a null doc_id stay only if
     no other row of their group has one; of rows that repeat both doc_id and text one stays. Of equal smallest ids with
     different texts the row with the smaller hash of its text stays. All columns are kept, whatever their names; an empty

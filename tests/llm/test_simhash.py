@@ -57,6 +57,19 @@ def test_components_against_brute_force(spark):
     assert len({c for _, _, c in want}) < len(rows) - 20
 
 
+def test_fingerprints_of_many_blocks(monkeypatch):
+    """Every shingle counts, however a text falls into blocks."""
+    rng = random.Random(12)
+    texts = [words(rng, n) for n in [*range(1, 60), 200, 1000]] + ["y " * 40 + "x " * 43]
+    for block in (1, 8, 9, 65_536):
+        monkeypatch.setattr(simhash, "HASHES_AT_ONCE", block)
+        for t in texts:
+            assert simhash.simhash(simhash.text_words(t), 3) == [brute_print(t)]
+    monkeypatch.undo()
+    for t in ("y " * 32_768 + "x " * 32_771, words(rng, 200_000)):
+        assert simhash.simhash(simhash.text_words(t), 3) == [brute_print(t)]
+
+
 def test_links_find_every_pair_within_the_radius(spark):
     rng = random.Random(7)
     prints = [rng.getrandbits(64) for _ in range(40)]
