@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -41,10 +42,14 @@ ADDED_RULES = (
     Rule("private_key", r"-----BEGIN (?:[A-Z]+ ){0,2}PRIVATE KEY-----"),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # begins a run of its class, so a run is read once; one that begins within a longer run is none
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
 )
 RULES = BASE_RULES + ADDED_RULES
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
+#: Matches that an inner fold takes. What was found is copied once for so many and not for each, which would take time
+#: with the square of a text's matches.
+AT_ONCE = 256
 
 
 def rule_version(rules: tuple[Rule, ...] = RULES) -> str:
@@ -52,6 +57,16 @@ def rule_version(rules: tuple[Rule, ...] = RULES) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``value``, which is worked out once however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _blocks(items: Column) -> Column:
+    """The array ``items`` as an array of arrays of at most AT_ONCE of them."""
+    return _let(items, lambda all_: F.transform(F.sequence(F.lit(0), F.greatest(F.size(all_) - 1, F.lit(0)), F.lit(AT_ONCE)), lambda i: F.slice(all_, i + 1, F.lit(AT_ONCE))))
+
+
 def _spans_of(text: Column, rule: Rule, rank: int) -> Column:
     pattern = F.lit(rule.pattern)
     pieces = F.zip_with(F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), lambda gap, match: F.struct(F.char_length(gap).alias("gap"), match.alias("match")))
@@ -65,7 +80,11 @@ def _spans_of(text: Column, rule: Rule, rank: int) -> Column:
             good &= F.char_length(F.regexp_extract(x["match"], rule.pattern, rule.group)) >= rule.least
         return F.struct(end.alias("at"), F.when(good, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
 
-    found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found")), step, lambda acc: acc["found"])
+    def block(acc: Column, some: Column) -> Column:
+        inner = F.aggregate(some, F.struct(acc["at"].alias("at"), F.array().cast(SPANS).alias("found")), step)
+        return _let(inner, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["found"], r["found"]).alias("found")))
+
+    found = F.aggregate(_blocks(pieces), F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found")), block, lambda acc: acc["found"])
     return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(SPANS))
 
 
@@ -124,13 +143,23 @@ def scan_history(versions: DataFrame, ledger: BlobLedger, text_col: str = "text"
 
 
 def _redacted(text: Column, spans: Column) -> Column:
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(fresh, F.concat(acc["out"], gap, F.lit("<"), s["kind"], F.lit(">"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    """``text`` with its ``spans`` replaced by their kinds. A block of spans looks only at its own part of the text."""
+
+    def block(acc: Column, some: Column) -> Column:
+        base = acc["at"]
+        upto = F.greatest(base, F.array_max(F.transform(some, lambda s: s["end"])))
+
+        def inner(part: Column) -> Column:
+            def step(own: Column, s: Column) -> Column:
+                gap = F.substring(part, own["at"] - base + 1, s["start"] - own["at"])
+                out = F.when(s["start"] >= own["at"], F.concat(own["out"], gap, F.lit("<"), s["kind"], F.lit(">"))).otherwise(own["out"])
+                return F.struct(F.greatest(own["at"], s["end"]).alias("at"), out.alias("out"))
+
+            return F.aggregate(some, F.struct(base.alias("at"), F.lit("").alias("out")), step)
+
+        return _let(_let(F.substring(text, base + 1, upto - base), inner), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], r["out"]).alias("out")))
 
-    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    return F.aggregate(_blocks(spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), block, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
 
 
 def redact_secrets(docs: DataFrame, ledger: BlobLedger, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:

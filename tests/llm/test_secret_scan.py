@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -72,3 +73,19 @@ def test_redaction(spark):
     rows = [(1, "é token = abcdef1, 0123456789abcdef01234567 end", 9), (2, "clean", 5), (3, "token=0123456789abcdef01234567", 30)]
     out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in ss.redact_secrets(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), ledger(spark)).collect()}
     assert out == {1: ("é <assign>, <hex> end", 21), 2: ("clean", 5), 3: ("<assign>", 8)}
+
+
+def test_many_matches_and_long_runs_take_linear_time(spark):
+    """Blocks of matches give the spans of one fold, and a megabyte of token starts is read once."""
+    many = " ".join(f"token=abcdef{i}" if i % 3 else f"{i:032x}" for i in range(3000))
+    long_run = "eyJ" * 350_000
+    dots = "eyJaaaaaaaa." * 80_000
+    rows = [(1, many), (2, long_run), (3, dots), (4, long_run + ".eyJabcdefgh.abcdefgh")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r["spans"] for r in ss.digest(ss.scan_history(df, ledger(spark))).collect()}
+    assert got[1] == brute(many)
+    assert got[2] == "" and got[3].startswith("jwt:0:") and got[4] == f"jwt:0:{len(rows[3][1])}"
+    out = {r["doc_id"]: r["text"] for r in ss.redact_secrets(df, ledger(spark)).collect()}
+    assert out[1] == " ".join("<assign>" if i % 3 else "<hex>" for i in range(3000)) and out[2] == long_run and out[4] == "<jwt>"
+    assert time.time() - began < 60
