@@ -15,13 +15,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.storage import materialize, read_table, scratch_name
+from dossier.storage import broadcast_if_small, materialize, read_table, scratch_name
 
 THRESHOLD = 0.3
 #: Share of the pooled covariance in each class covariance, and of the sphere in the result.
 TO_POOLED, TO_SPHERE = 0.1, 0.02
 #: Smallest prior of a class; keeps a class that is rare in the labels from vanishing.
 LEAST_PRIOR = 0.01
+#: The filter fits on so many labelled documents at most, those of the smallest hash of their id.
+FIT_DOCUMENTS = 200_000
 
 FEATURES = ("size", "word_length", "variety", "symbols", "bars", "shouting", "capitals", "digits", "stutter", "lines_again", "stops")
 
@@ -171,14 +173,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more (ties stay), with all their columns.
 
-    Null and empty texts are scored as texts without words; repeated rows get one score and stay or go together. Without
-    any label every score is 0.5. An empty table gives no rows.
+    The discriminant is fitted on at most FIT_DOCUMENTS labelled documents, so that the others' statistics are worked out
+    once, for their score. Null and empty texts are scored as texts without words; repeated rows get one score and stay
+    or go together. Without any label every score is 0.5. An empty table gives no rows.
     """
-    x = scratch_name(docs, "x")
-    measured = statistics(docs, F.col(text_col), x)
-    model = fit_on(measured, labels, id_col, x)
-    score = scratch_name(docs, "score")
-    return measured.withColumn(score, score_column(model, x)).filter(F.col(score) >= threshold).select(*docs.columns)
+    fitted = one_label(labels).filter(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(FIT_DOCUMENTS)
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(broadcast_if_small(materialize(fitted, "labelled")), "id")
+    model = fit(statistics(known, F.col("text"), "x"))
+    x, score = scratch_name(docs, "x"), scratch_name(docs, "score")
+    scored = statistics(docs, F.col(text_col), x).withColumn(score, score_column(model, x))
+    return scored.filter(F.col(score) >= threshold).select(*docs.columns)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
