@@ -17,6 +17,8 @@ BROADCAST_BYTES = 32 << 20
 
 #: With it the shuffle files of a finished write go at once.
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows and bytes of one Arrow batch of a written computation: a task holds a batch several times, in Spark and in Python.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,12 +59,15 @@ class Scratch:
         """``df``, written to the shared folder under ``label`` and read back."""
         path = new_path(self.spark, label)
         self.paths.setdefault(label, []).append(path)
-        before = self.spark.conf.get(CLEAN_SHUFFLES, "false")
-        self.spark.conf.set(CLEAN_SHUFFLES, "true" if self.clean else before)
+        asked = BATCHES | ({CLEAN_SHUFFLES: "true"} if self.clean else {})
+        before = {k: self.spark.conf.get(k, None) for k in asked}
+        for k, v in asked.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.parquet(path)
         finally:
-            self.spark.conf.set(CLEAN_SHUFFLES, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *labels: str) -> None:
