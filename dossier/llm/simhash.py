@@ -202,8 +202,10 @@ def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
 
     found = docs.filter(F.pmod("row", F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "hash long")
     most = found.groupBy("hash").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "hash").limit(FREQUENT_MOST)
-    rows = sorted(map(tuple, most.collect()))  # FREQUENT_MOST at most
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+    rows = most.toArrow()  # FREQUENT_MOST at most; as columns they take a few MB of the driver
+    hashes, counts = (rows.column(c).to_numpy() for c in ("hash", "count"))
+    order = np.argsort(hashes)
+    return hashes[order].astype(np.int64), counts[order].astype(np.int64)
 
 
 def prefix_of(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
