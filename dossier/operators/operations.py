@@ -149,12 +149,16 @@ def case_transition(changes: DataFrame, allowed: DataFrame) -> DataFrame:
     return changes.join(allowed.withColumn("valid", F.lit(True)), ["from_status", "to_status"], "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
 
 
-def natural_key(text: Column, width: int = 12) -> Column:
-    """A key that sorts "case-2" before "case-10": each run of digits is padded with zeros.
-
-    Runs of ``width`` digits or more stay as they are."""
+def natural_key(text: Column) -> Column:
+    """A key that sorts "case-2" before "case-10": each run of digits is led by its length without leading zeros, so runs
+    of any length are in the order of their numbers. Runs that differ in leading zeros alone have one key."""
     runs = F.regexp_extract_all(text, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]") & (F.length(x) < width), F.lpad(x, width, "0")).otherwise(x)), "")
+
+    def key(run: Column) -> Column:
+        number = F.regexp_replace(run, "^0+(?=[0-9])", "")
+        return F.when(run.rlike("^[0-9]"), F.concat(F.lpad(F.length(number).cast("string"), 10, "0"), number)).otherwise(run)
+
+    return F.array_join(F.transform(runs, key), "")
 
 
 def page_groups(pages: DataFrame, file: str, page: str, starts: str) -> DataFrame:

@@ -135,3 +135,11 @@ def chk_identifiers(printed: DataFrame) -> DataFrame:
     """Rows (document_id, n, n_bad, status) of printed identifiers (document_id, verdict), of which all should be valid."""
     n = printed.groupBy("document_id").agg(F.count("verdict").alias("n"), F.count_if(F.col("verdict") != "valid").alias("n_bad"))
     return n.withColumn("status", status(F.col("n_bad") > 0, F.col("n") > 0))
+
+
+def reference_number(column: str) -> Column:
+    """pass, flag or skipped (none is printed): letters and digits with hyphens, slashes, underscores, dots, blanks and
+    number signs between them, of any length, at least one digit. No issuer's own form is asked for."""
+    text = F.trim(F.col(column))
+    good = text.rlike(r"^[A-Za-z0-9]([A-Za-z0-9/_. #-]*[A-Za-z0-9])?$") & text.rlike("[0-9]")
+    return F.when(F.coalesce(text, F.lit("")) == "", "skipped").when(good, "pass").otherwise("flag")

@@ -435,7 +435,7 @@ def family_result_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     """SELECT p_partkey, p_name || '-' || p_size AS name, array_to_string(list_transform(regexp_extract_all(p_name || '-' || p_size, '[0-9]+|[^0-9]+'),
-lambda x: CASE WHEN regexp_matches(x, '^[0-9]') AND length(x) < 12 THEN lpad(x, 12, '0') ELSE x END), '') AS sort_key FROM part ORDER BY sort_key, p_partkey"""
+lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(length(regexp_replace(x, '^0+([0-9])', '\\1'))::VARCHAR, 10, '0') || regexp_replace(x, '^0+([0-9])', '\\1') ELSE x END), '') AS sort_key FROM part ORDER BY sort_key, p_partkey"""
 )
 def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All parts by name and size, runs of digits in the order of their numbers."""

@@ -138,12 +138,12 @@ def register_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT event_type, time_bucket(INTERVAL 15 MINUTES, ts) AS window_start, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS longest FROM events GROUP BY 1, 2")
 def stream_queue_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.run_to_table(monitor.queue_metrics(streamed(spark, sf_dir)), "queue")
+    return monitor.run_to_table(monitor.queue_metrics(streamed(spark, sf_dir), late="40 days"), "queue", "update", ["event_type", "window_start"])
 
 
 @register("SELECT user_id, CAST(ts AS DATE) AS usage_date, count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS n_purchases FROM events GROUP BY 1, 2")
 def stream_usage_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.run_to_table(monitor.usage_counters(streamed(spark, sf_dir)), "usage")
+    return monitor.run_to_table(monitor.usage_counters(streamed(spark, sf_dir), late="40 days"), "usage", "update", ["user_id", "usage_date"])
 
 
 @register("SELECT event_id, user_id, event_type FROM events")
@@ -166,7 +166,7 @@ def stream_login_lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_type, window_end, count(*) AS used, greatest(count(*) - 20, 0) AS over FROM w GROUP BY 1, 2"""
 )
 def stream_rate_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.run_to_table(monitor.rate_usage(streamed(spark, sf_dir), 3600, 20), "rate")
+    return monitor.run_to_table(monitor.rate_usage(streamed(spark, sf_dir), 3600, 20, late="40 days"), "rate", "update", ["event_type", "window_end"])
 
 
 @register("SELECT o_custkey AS case_id, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_terminal FROM orders GROUP BY 1 HAVING n = n_terminal AND n >= 2")

@@ -177,7 +177,15 @@ def metadata_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.metadata_findings(facts)
 
 
-@register("SELECT c_custkey AS case_id, CASE WHEN regexp_matches(c_name, '^[A-Za-z][A-Za-z0-9#/-]{3,30}$') AND regexp_matches(c_name, '[0-9]') THEN 'pass' ELSE 'flag' END AS status FROM customer")
+_REFERENCE = "CASE o_orderkey % 8 WHEN 0 THEN replace(o_orderpriority, ' ', '/') WHEN 1 THEN o_orderkey || '/' || o_custkey WHEN 2 THEN 'INV_' || o_orderkey || '.A #' || o_custkey WHEN 3 THEN o_orderkey || '-' WHEN 4 THEN '' WHEN 5 THEN o_orderpriority || '€' || o_orderkey WHEN 6 THEN repeat('A1-', 20) || o_orderkey END"
+
+
+@register(
+    f"""SELECT document_id, reference, CASE WHEN reference IS NULL OR trim(reference) = '' THEN 'skipped'
+WHEN regexp_full_match(trim(reference), '[A-Za-z0-9]([A-Za-z0-9/_. #-]*[A-Za-z0-9])?') AND regexp_matches(reference, '[0-9]') THEN 'pass' ELSE 'flag' END AS status
+FROM (SELECT o_orderkey AS document_id, {_REFERENCE} AS reference FROM orders)"""
+)
 def chk_reference_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = F.col("case_name").rlike("^[A-Za-z][A-Za-z0-9#/-]{3,30}$") & F.col("case_name").rlike("[0-9]")
-    return cases(spark, sf_dir).select("case_id", validation.status(~good).alias("status"))
+    """Printed reference numbers of several shapes, made of the columns of a document."""
+    printed = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.expr(_REFERENCE).alias("reference"))
+    return printed.select("document_id", "reference", validation.reference_number("reference").alias("status"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from dossier.storage import new_path
@@ -88,24 +89,34 @@ def login_lockout(attempts: DataFrame, minutes: int = 15, limit: int = 5, late:
     return attempts.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, LOCKOUT, LOCK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_to_table(stream: DataFrame, label: str, mode: str = "complete", limit_s: int = 600) -> DataFrame:
-    """Run a stream over what there is now into a table in the shared folder, and read that."""
+def run_to_table(stream: DataFrame, label: str, mode: str = "complete", keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over what there is now into a table in the shared folder, and read that.
+
+    In update mode each batch writes the rows that it has changed, and the reader takes the latest of each of ``keys``; the
+    stream's state then holds no more than the watermark asks for. Complete mode keeps and rewrites the whole result: it
+    is for results of few rows. A batch writes its own subfolder, so one that comes twice leaves one result.
+    """
     spark = stream.sparkSession
     path = new_path(spark, label)
 
     def put(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
-
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", new_path(spark, f"{label}-state")).trigger(availableNow=True).foreachBatch(put).start()
-    began = time.time()
-    while query.isActive and time.time() - began < limit_s:
-        query.awaitTermination(5)
-    if query.isActive:
-        query.stop()
-        raise TimeoutError(f"{label} did not end in {limit_s} s")
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={epoch}")
+
+    spark.createDataFrame([], stream.schema).write.parquet(path if mode == "complete" else f"{path}/batch=-1")
+    finish(stream.writeStream.outputMode(mode).option("checkpointLocation", new_path(spark, f"{label}-state")).trigger(availableNow=True).foreachBatch(put).start())
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(path)
+    rows = spark.read.option("basePath", path).schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/batch=*")
+    if mode == "update":
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("last_row")).select("last_row.*")
+    return rows.select(*stream.columns)
+
+
+def finish(query: StreamingQuery) -> None:
+    """Wait for a stream over what there is now, however long it takes."""
+    query.awaitTermination()
     if error := query.exception():
         raise error
-    return spark.read.schema(stream.schema).parquet(path)
 
 
 def case_ready(documents: DataFrame, least: int = 2) -> DataFrame:
@@ -139,17 +150,9 @@ def token_cutoff(events: DataFrame, cutoffs: DataFrame, issued: str = "ts") -> D
     return events.join(latest, "user_id").filter(F.col(issued) < F.col("cutoff"))
 
 
-def run_batches(stream: DataFrame, label: str, put: Callable[[DataFrame, int], None], limit_s: int = 600) -> None:
+def run_batches(stream: DataFrame, label: str, put: Callable[[DataFrame, int], None]) -> None:
     """Give each micro-batch of what there is now to ``put``, which must do the same again if a batch comes twice."""
-    query = stream.writeStream.option("checkpointLocation", new_path(stream.sparkSession, f"{label}-state")).trigger(availableNow=True).foreachBatch(put).start()
-    began = time.time()
-    while query.isActive and time.time() - began < limit_s:
-        query.awaitTermination(5)
-    if query.isActive:
-        query.stop()
-        raise TimeoutError(f"{label} did not end in {limit_s} s")
-    if error := query.exception():
-        raise error
+    finish(stream.writeStream.option("checkpointLocation", new_path(stream.sparkSession, f"{label}-state")).trigger(availableNow=True).foreachBatch(put).start())
 
 
 def rescore(finished: DataFrame, assess: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
@@ -163,7 +166,7 @@ def rescore(finished: DataFrame, assess: Callable[[DataFrame], DataFrame], schem
 
     def put(batch: DataFrame, epoch: int) -> None:
         wanted = assess(batch.select("case_id").distinct())
-        stored = spark.read.schema(schema).parquet(*(f"{path}/batch={i}" for i in (-1, *range(epoch))))
+        stored = spark.read.option("basePath", path).schema(f"{schema}, batch long").parquet(f"{path}/batch=*").filter(F.col("batch") < epoch)
         wanted = wanted.join(stored.select("case_id", "fingerprint"), ["case_id", "fingerprint"], "left_anti")
         wanted.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
