@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from dossier.plans import catalogue, further, issuers, layout, more, reports, rules, values  # noqa: F401  registers all queries
+from dossier.plans import catalogue, further, identities, issuers, layout, more, reports, rules, values  # noqa: F401  registers all queries
 from dossier.plans.tables import NAMES
 
 SF = "/root/testdata/sf0.001"
