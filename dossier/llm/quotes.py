@@ -17,7 +17,7 @@ from dossier.storage import Scratch, materialize, read_table
 
 MARKS = r"^[\x20\t]*+((?:>[\x20\t]?+)++)"
 #: Turns of one conversation that a task orders together, on average.
-BLOCK = 1024
+BLOCK = 65_536
 #: Signs within a passage that normalising takes for spaces anyway; they mark where one begins and its depth ends.
 BEGIN, DEPTH_END = "\x01", "\x02"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,23 +80,24 @@ def in_order(turns: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, quoted, first, before, place, head, head_place) of the distinct turns (conv_id, turn, quoted).
 
     ``before`` is the turn before, ``place`` counts a conversation's turns from 1, ``head`` is the latest turn up to this
-    one that quotes another, else the conversation's first. A conversation is ordered in blocks of its range of turns
-    and then between blocks, so a hot one is dealt out; only its blocks, one in ``BLOCK`` of its turns, meet in one task.
+    one that quotes another, else the conversation's first. Turns are dealt by ranges of (conversation, turn) of about
+    ``BLOCK`` turns each, whatever their distances, and what is known at the end of a range is carried to the next; so a hot
+    conversation is dealt out, and only its ranges meet in one task.
     """
-    ranges = turns.groupBy("conv_id").agg(F.min("turn").alias("first"), F.max("turn").alias("last"), F.count("*").alias("n"))
-    wide = (F.col("last").cast("double") - F.col("first").cast("double")) / F.ceil(F.col("n") / BLOCK) + 1
-    dealt = turns.join(ranges.select("conv_id", "first", wide.alias("wide")), "conv_id")
-    dealt = dealt.select("conv_id", "turn", "quoted", "first", F.floor((F.col("turn").cast("double") - F.col("first").cast("double")) / F.col("wide")).alias("block"))
+    turns = materialize(turns, "dealt")
+    parts = max(1, -(-turns.count() // BLOCK))
+    dealt = turns.repartitionByRange(parts, "conv_id", "turn").select("conv_id", "turn", "quoted", F.spark_partition_id().alias("block"))
+    dealt = materialize(dealt, "ranges")
     of_block = W.partitionBy("conv_id", "block").orderBy("turn")
     inside = dealt.withColumns({"at": F.row_number().over(of_block), "before": F.lag("turn").over(of_block)})
     is_head = F.col("quoted").isNotNull()
     inside = materialize(inside.withColumn("head", F.last(F.when(is_head, F.struct("turn", "at")), ignorenulls=True).over(of_block)), "turns")
-    blocks = inside.groupBy("conv_id", "block").agg(F.count("*").alias("n"), F.max("turn").alias("last"), F.max(F.when(is_head, F.struct("turn", "at"))).alias("head"))
+    blocks = inside.groupBy("conv_id", "block").agg(F.count("*").alias("n"), F.min("turn").alias("low"), F.max("turn").alias("last"), F.max(F.when(is_head, F.struct("turn", "at"))).alias("head"))
     by_block = W.partitionBy("conv_id").orderBy("block")
     earlier = by_block.rowsBetween(W.unboundedPreceding, -1)
-    counted = blocks.select("conv_id", "block", "last", "head", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("more"))
+    counted = blocks.select("conv_id", "block", F.min("low").over(W.partitionBy("conv_id")).alias("first"), "last", "head", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("more"))
     counted = counted.withColumn("head", F.when(F.col("head").isNotNull(), F.struct(F.col("head.turn").alias("turn"), (F.col("head.at") + F.col("more")).alias("at"))))
-    carried = counted.select("conv_id", "block", "more", F.lag("last").over(by_block).alias("carried"), F.last("head", ignorenulls=True).over(earlier).alias("above"))
+    carried = counted.select("conv_id", "block", "first", "more", F.lag("last").over(by_block).alias("carried"), F.last("head", ignorenulls=True).over(earlier).alias("above"))
     return inside.join(carried, ["conv_id", "block"]).select(
         "conv_id", "turn", "quoted", "first", F.coalesce("before", "carried").alias("before"), (F.col("at") + F.col("more")).alias("place"),
         F.coalesce("head.turn", "above.turn", "first").alias("head"), F.coalesce(F.col("head.at") + F.col("more"), F.col("above.at"), F.lit(1)).alias("head_place"),

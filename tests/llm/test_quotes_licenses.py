@@ -76,6 +76,21 @@ def test_long_messages_and_deep_quotes(spark):
     assert found[2]["reply_to"] == 1 and not found[2]["quoted"] and found[3]["reply_to"] == 2 and found[3]["quoted"]
 
 
+def test_ranges_are_even_whatever_the_turns(spark, monkeypatch):
+    """One turn far from all others does not put those into one range."""
+    monkeypatch.setattr(quotes, "BLOCK", 100)
+    turns = [(1, t, None) for t in range(2000)] + [(1, 10**12, 5), (2, 7, None)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, quoted long")
+    seen = {}
+    kept = quotes.materialize
+    monkeypatch.setattr(quotes, "materialize", lambda d, label: seen.setdefault(label, kept(d, label)))
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.in_order(df).collect()}
+    assert max(r["count"] for r in seen["ranges"].groupBy("block").count().collect()) <= 400
+    assert all(got[1, t]["place"] == t + 1 and got[1, t]["before"] == (t - 1 if t else None) and got[1, t]["first"] == 0 for t in range(2000))
+    far = got[1, 10**12]
+    assert (far["place"], far["before"], far["head"], far["head_place"]) == (2001, 1999, 10**12, 2001) and got[2, 7]["place"] == 1
+
+
 def test_hot_conversation_in_blocks(spark, monkeypatch):
     """Few turns a block, turns far apart, repeated rows: the blocks join to one order."""
     monkeypatch.setattr(quotes, "BLOCK", 4)
