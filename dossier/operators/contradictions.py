@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions import text as fn
-from dossier.operators.identity import token_relation
+from dossier.operators.identity import name_part, part_relation
 from dossier.storage import materialize
 
 #: Relations of name parts, the strongest first.
@@ -34,11 +34,11 @@ def _harmless(reason: str) -> Column:
 
 
 def aligned(a: Column, b: Column) -> Column:
-    """The parts of two names matched one to one, as structs (level, i, j); level is the relation's place in RELATIONS.
+    """The parts of two names (arrays of ``name_part``) matched one to one, as structs (level, i, j); level is the relation's place in RELATIONS.
 
     All related parts are sorted, the strongest relation first, then by place, and each is taken if both its parts are free.
     """
-    level = lambda t, u: F.array_position(F.array(*map(F.lit, RELATIONS)), token_relation(t, u)).cast("int") - 1
+    level = lambda t, u: F.array_position(F.array(*map(F.lit, RELATIONS)), part_relation(t, u)).cast("int") - 1
     every = F.flatten(F.transform(a, lambda t, i: F.transform(b, lambda u, j: F.struct(level(t, u).alias("level"), i.alias("i"), j.alias("j")))))
     related = F.array_sort(F.filter(every, lambda p: p["level"] >= 0))
     taken = lambda acc, p: F.exists(acc, lambda q: (q["i"] == p["i"]) | (q["j"] == p["j"]))
@@ -52,7 +52,7 @@ def name_verdicts(pairs: DataFrame, a: str = "value_a", b: str = "value_b") -> D
     partial name or, with two matched, a name in full; other differences are harmless.
     """
     plain = lambda c: F.regexp_extract_all(F.translate(F.lower(c), fn.ACCENTED, fn.PLAIN), F.lit(r"(\p{L}+)"), F.lit(1))
-    split = pairs.withColumn("__a", fn.name_tokens(F.col(a))).withColumn("__b", fn.name_tokens(F.col(b)))
+    split = pairs.withColumn("__a", F.transform(fn.name_tokens(F.col(a)), name_part)).withColumn("__b", F.transform(fn.name_tokens(F.col(b)), name_part))
     met = split.withColumn("__m", aligned(F.col("__a"), F.col("__b")))
     extra_a, extra_b = (F.size(c) > F.size("__m") for c in ("__a", "__b"))
     has = lambda r: F.exists("__m", lambda p: p["level"] == RELATIONS.index(r))

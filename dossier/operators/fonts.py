@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dossier.storage import materialize
+
 #: Height of the bands in which spans of a row meet, how far a column's edges may be apart, and a row's baselines.
 BAND, EDGE, ROW_GAP = 12.0, 2.0, 2.0
 #: Share of the lower span that a row shares; how many times larger a size still is similar; a step of sizes within a number.
@@ -42,10 +44,8 @@ def font_family(font: Column) -> Column:
     bare = F.regexp_replace(F.lower(name), rf"[-,_\x20]+(?:{style})+(?:mt|ps)?(?=$|[-,_\x20])", "")
     joined = F.regexp_replace(F.regexp_replace(bare, r"[-,_\x20]+", ""), r"(?<=.)(?:psmt|mt|ps)$", "")
     family = F.regexp_replace(joined, "(?<=.)(?:bold|italic|oblique|regular)+$", "")
-    out = family
-    for twin, meant in FAMILY_ALIASES.items():
-        out = F.when(family == twin, meant).otherwise(out)
-    return out
+    twins = F.create_map(*(F.lit(x) for pair in FAMILY_ALIASES.items() for x in pair))
+    return F.coalesce(F.try_element_at(twins, family), family)
 
 
 def font_style(font: Column) -> Column:
@@ -70,7 +70,7 @@ def font_subset_split(spans: DataFrame) -> DataFrame:
     keys = ["document_id", "page", "family", "style"]
     tag, base = F.regexp_extract("font", TAGGED, 1), F.regexp_extract("font", TAGGED, 2)
     told = spans.filter(F.col("font").rlike(TAGGED) & F.col("text").rlike(r"[\p{L}\p{N}]")).dropDuplicates(["document_id", "page", "span_no"])
-    told = told.select("document_id", "page", font_family(base).alias("family"), font_style(base).alias("style"), "span_no", F.trim("text").alias("text"), tag.alias("tag"), "x0", "y0", "x1", "y1")
+    told = materialize(told.select("document_id", "page", font_family(base).alias("family"), font_style(base).alias("style"), "span_no", F.trim("text").alias("text"), tag.alias("tag"), "x0", "y0", "x1", "y1"), "spans")
     copies = told.groupBy(*keys, "tag").agg(F.sum(F.char_length("text")).alias("chars"), F.min(F.col("text").rlike(ONLY_DIGITS)).alias("digits_only"))
     mains = copies.groupBy(*keys).agg(F.min_by("tag", F.struct(-F.col("chars"), "tag")).alias("main_tag"), F.count("*").alias("n")).filter("n > 1").drop("n")
     tagged = told.join(mains, keys).join(copies.drop("chars"), [*keys, "tag"])

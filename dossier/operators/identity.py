@@ -13,31 +13,40 @@ from dossier.functions.text import full_form, name_tokens, sound_key
 SLIP_LENGTH = 5
 
 
+def name_part(token: Column) -> Column:
+    """What comparing a name token takes, worked out once: the token, its full form, and the sounds of both."""
+    return F.struct(token.alias("token"), full_form(token).alias("full"), sound_key(full_form(token)).alias("sound"), sound_key(token).alias("own"))
+
+
 def one_slip(a: Column, b: Column) -> Column:
-    """Tokens whose sounds begin alike and differ by a letter more, a changed vowel or two neighbours exchanged."""
-    x, y = sound_key(a), sound_key(b)
+    """Name parts whose sounds begin alike and differ by a letter more, a changed vowel or two neighbours exchanged."""
+    x, y = a["own"], b["own"]
     pairs = F.zip_with(F.split(x, ""), F.split(y, ""), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
     apart = F.filter(F.transform(pairs, lambda v, i: F.struct(i.alias("i"), v["p"].alias("p"), v["q"].alias("q"))), lambda v: v["p"] != v["q"])
     one, two = F.get(apart, F.lit(0)), F.get(apart, F.lit(1))
     vowel = (F.size(apart) == 1) & one["p"].isin(*"aeiou") & one["q"].isin(*"aeiou")
     swapped = (F.size(apart) == 2) & (two["i"] == one["i"] + 1) & (one["p"] == two["q"]) & (one["q"] == two["p"])
     alike = F.when(F.length(x) == F.length(y), vowel | swapped).otherwise(F.levenshtein(x, y) == 1)
-    return (F.least(F.length(a), F.length(b)) >= SLIP_LENGTH) & (F.substring(x, 1, 1) == F.substring(y, 1, 1)) & alike
+    return (F.least(F.length(a["token"]), F.length(b["token"])) >= SLIP_LENGTH) & (F.substring(x, 1, 1) == F.substring(y, 1, 1)) & alike
 
 
-def token_relation(a: Column, b: Column) -> Column:
-    """exact, abbreviation, spelling (one sound), initial or typo of two name tokens, the strongest; null if none."""
-    full_a, full_b = full_form(a), full_form(b)
-    short = (full_a != a) | (full_b != b)
-    initial = ((F.length(a) == 1) & b.startswith(a)) | ((F.length(b) == 1) & a.startswith(b))
+def part_relation(a: Column, b: Column) -> Column:
+    """exact, abbreviation, spelling (one sound), initial or typo of two name parts (see ``name_part``), the strongest; null if none."""
+    s, t = a["token"], b["token"]
+    short = (a["full"] != s) | (b["full"] != t)
+    initial = ((F.length(s) == 1) & t.startswith(s)) | ((F.length(t) == 1) & s.startswith(t))
     return (
-        F.when(a == b, "exact")
-        .when(sound_key(full_a) == sound_key(full_b), F.when(short, "abbreviation").otherwise("spelling"))
-        .when((F.length(a) == 1) | (F.length(b) == 1), F.when(initial, "initial"))
+        F.when(s == t, "exact")
+        .when(a["sound"] == b["sound"], F.when(short, "abbreviation").otherwise("spelling"))
+        .when((F.length(s) == 1) | (F.length(t) == 1), F.when(initial, "initial"))
         .when(one_slip(a, b), "typo")
     )
 
 
+def token_relation(a: Column, b: Column) -> Column:
+    return part_relation(name_part(a), name_part(b))
+
+
 def compare_names(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """``pairs`` with ``verdict``: match, harmless, possible_spelling_error, partial_name or different_name; null if a
     side has no letters. Tokens are matched by the best relation that any token of the other name gives; a token
