@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from dossier.plans import catalogue, files, fonts, further, identities, issuers, item_tables, layout, more, papers, reports, rules, sequences, values  # noqa: F401  registers all queries
+from dossier.plans import catalogue, files, fonts, further, identities, issuers, item_tables, keeping, layout, more, papers, reports, rules, sequences, values  # noqa: F401  registers all queries
 from dossier.plans.tables import NAMES
 
 SF = "/root/testdata/sf0.001"
