@@ -154,7 +154,13 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.run_to_table(monitor.dedup(twice).select("event_id", "user_id", "event_type"), "dedup", "append")
 
 
-@register()
+@register(
+    """WITH RECURSIVE e AS (SELECT user_id, ts, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'error') AS n FROM events WHERE event_type IN ('error', 'purchase')),
+s AS (SELECT user_id, n, CASE WHEN failed THEN ts END AS started, CASE WHEN failed THEN 1 ELSE 0 END AS failures FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.n, CASE WHEN NOT failed THEN NULL WHEN failures IN (0, 3) OR ts > started + INTERVAL 24 HOURS THEN ts ELSE started END, CASE WHEN NOT failed THEN 0 WHEN failures IN (0, 3) OR ts > started + INTERVAL 24 HOURS THEN 1 ELSE failures + 1 END
+  FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+SELECT user_id, CAST(failures AS INT) AS failures, started AS first_failure, started + INTERVAL 24 HOURS AS locked_until FROM s WHERE failures = 3"""
+)
 def stream_login_lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors as failures and all else as neither; 3 in a day lock."""
     attempts = streamed(spark, sf_dir).filter("event_type IN ('error', 'purchase')").select("user_id", "ts", (F.col("event_type") == "error").alias("failed"))
