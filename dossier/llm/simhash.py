@@ -37,6 +37,8 @@ LEADERS, STARS = 4, 2
 #: The exact join of the stage: words of a text's bitmap, shingles that are carried to make a pair once, one text in so
 #: many is read for the frequent shingles, and how many of those are kept. None of them changes which pairs are found.
 BITMAP_WORDS, HEAD, SAMPLE, FREQUENT, FREQUENT_MOST = 8, 8, 8, 3, 200_000
+#: Texts of up to so many distinct shingles carry all of them into that join, so it makes no pair of them that is no link.
+WHOLE = 256
 #: Stage defaults: the largest radius of which two segments guarantee one that differs in at most one bit; the similarity.
 STAGE_RADIUS, STAGE_SIMILARITY = 3, 0.8
 
@@ -230,17 +232,18 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
 
 
 def _text_prints(docs: DataFrame, verify_words: int, n_words: int, least: float) -> DataFrame:
-    """Rows (id, row, key, f0, ..., size, prefix, bits) of the rows (id, row, text) that have words; key is a hash of all
-    the words. fingerprint, size, prefix and bits are of the text's set of distinct shingles; a task gives a text's prefix once, then null."""
+    """Rows (id, row, key, f0, ..., size, prefix, bits, whole) of the rows (id, row, text) that have words; key is a hash of
+    all the words. The others are of the text's set of distinct shingles; a task gives a text's prefix, bits and whole
+    once, then null. whole is null for texts of more than WHOLE shingles, else the lower 32 bits of each one's hash."""
     longs = T.ArrayType(T.LongType())
     made = [T.StructField(c, T.LongType()) for c in ("key", *(f"f{k}" for k in range(n_words)))]
-    out = T.StructType([docs.schema["id"], docs.schema["row"], *made, T.StructField("size", T.IntegerType()), T.StructField("prefix", longs), T.StructField("bits", longs)])
+    out = T.StructType([docs.schema["id"], docs.schema["row"], *made, T.StructField("size", T.IntegerType()), T.StructField("prefix", longs), T.StructField("bits", longs), T.StructField("whole", T.ArrayType(T.IntegerType()))])
     sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, verify_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, seen = sent.value, set()
         for batch in batches:
-            rows, found, sizes, prefixes, bits = [], [], [], [], []
+            rows, found, sizes, prefixes, bits, wholes = [], [], [], [], [], []
             for i, t in enumerate(batch.column(2)):
                 if words := text_words(t.as_py()):
                     rows.append(i)
@@ -253,21 +256,22 @@ def _text_prints(docs: DataFrame, verify_words: int, n_words: int, least: float)
                     sizes.append(len(hashes))
                     prefixes.append(None if again else prefix_of(hashes, frequent, least))
                     bits.append(None if again else bitmap(hashes))
+                    wholes.append(None if again or len(hashes) > WHOLE else hashes.astype(np.int32))
             at = pa.array(rows, pa.int64())
             arrays = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array([f[k] for f in found], pa.int64()) for k in range(n_words + 1))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(sizes, pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in (prefixes, bits))], names=out.names)
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(sizes, pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in (prefixes, bits)), pa.array(wholes, pa.list_(pa.int32()))], names=out.names)
 
     return docs.mapInArrow(run, out)
 
 
 def prefix_slots(prints: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Rows (slot, key, pos) of the prefix shingles that several texts have, and rows (key, size, head, b0, ...) of these texts."""
+    """Rows (slot, key, pos) of the prefix shingles that several texts have, and rows (key, size, head, whole, b0, ...) of these texts."""
     told = prints.filter("prefix IS NOT NULL")
     each = told.select("key", F.posexplode("prefix").alias("pos", "slot"))
     shared = scratch.table(each.groupBy("slot").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low != high").select("slot"), "shared")
     met = scratch.table(each.join(broadcast_if_small(shared), "slot", "left_semi").dropDuplicates(["slot", "key"]), "met")
     sets = told.join(broadcast_if_small(scratch.table(met.select("key").distinct(), "involved")), "key", "left_semi")
-    sets = sets.select("key", "size", F.slice("prefix", 1, HEAD).alias("head"), *(F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(BITMAP_WORDS))).dropDuplicates(["key"])
+    sets = sets.select("key", "size", F.slice("prefix", 1, HEAD).alias("head"), "whole", *(F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(BITMAP_WORDS))).dropDuplicates(["key"])
     sets = scratch.table(sets, "sets")
     scratch.drop("shared", "involved")
     return met, sets
@@ -284,6 +288,12 @@ def _large_enough(least: float) -> tuple[Column, Column]:
     return need, fits
 
 
+def _jaccard_of(x: str, y: str, least: float) -> Column:
+    """Whether two sets of hashes have a Jaccard similarity of ``least`` or more."""
+    shared = F.size(F.array_intersect(x, y))
+    return shared >= least * (F.size(x) + F.size(y) - shared)
+
+
 def _side(df: DataFrame, side: str, *same: str) -> DataFrame:
     return df.select(*same, *(F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in same))
 
@@ -294,7 +304,7 @@ def prefix_stars(met: DataFrame, sets: DataFrame, least: float, salt: int) -> Da
     lead = met.groupBy("slot").agg(F.min_by("key", F.xxhash64("key", F.lit(salt))).alias("l_key"))
     pairs = met.join(lead, "slot").filter("l_key != key").select("l_key", F.col("key").alias("r_key")).distinct()
     for side in "lr":
-        pairs = pairs.join(_side(sets.drop("head"), side), f"{side}_key")
+        pairs = pairs.join(_side(sets.drop("head", "whole"), side), f"{side}_key")
     return pairs.filter(_large_enough(least)[1]).select(F.col("l_key").alias("a"), F.col("r_key").alias("b"))
 
 
@@ -303,7 +313,7 @@ def prefix_links(met: DataFrame, sets: DataFrame, split: DataFrame, least: float
     shingles have a Jaccard similarity of ``least`` or more is among them. ``met`` and ``sets`` are those of prefix_slots.
 
     Such sets share a shingle of their prefixes. At the first that they share, none of either set before it is shared,
-    so the rest of each must be large enough.
+    so the rest of each must be large enough. Of texts that carry their whole sets only pairs of that similarity are made.
     """
     parted = scratch.table(met.join(split, "key"), "parted")
     several = parted.groupBy("slot").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high")
@@ -313,6 +323,7 @@ def prefix_links(met: DataFrame, sets: DataFrame, split: DataFrame, least: float
     fits &= (F.col("l_key") < F.col("r_key")) & (F.col("l_part") != F.col("r_part")) & (F.least(F.col("l_size") - F.col("l_pos"), F.col("r_size") - F.col("r_pos")) >= need)
     # a pair is made at the first shingle that it shares, as far as the heads tell
     fits &= F.size(F.array_intersect(F.slice("l_head", F.lit(1), F.least("l_pos", F.lit(HEAD))), F.col("r_head"))) == 0
+    fits &= F.col("l_whole").isNull() | F.col("r_whole").isNull() | _jaccard_of("l_whole", "r_whole", least)
     left, right = _side(wide, "l", "slot"), _side(wide, "r", "slot")
     return left.hint("merge").join(right, (left["slot"] == right["slot"]) & fits).select(F.col("l_key").alias("a"), F.col("r_key").alias("b"))
 
@@ -344,8 +355,7 @@ def _shingle_sets(narrow: DataFrame, texts: DataFrame, pairs: DataFrame, size: i
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The rows (a, b) of ``pairs`` whose shingle sets have a Jaccard similarity of ``least`` or more."""
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return both.filter(_jaccard_of("x", "y", least)).select("a", "b")
 
 
 def deduplicate(

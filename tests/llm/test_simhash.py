@@ -228,3 +228,22 @@ def test_stars_are_within_the_radius_and_few(spark):
     found = [tuple(r) for r in simhash.stars(spark.createDataFrame([(p,) for p in prints], "f0 long"), 3).collect()]
     assert found and len(found) <= simhash.LEADERS * 34 * len(prints)
     assert all(a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3 for a, b in found)
+
+
+def test_exact_join_makes_links_only(spark):
+    """A group of near copies, most of which are just too far from each other: the join makes no pair that is no link."""
+    rng = random.Random(43)
+    base, rows = words(rng, 160).split(), []
+    for i in range(80):
+        w = list(base)
+        for _ in range(rng.randint(1, 4)):
+            w[rng.randrange(len(w))] = words(rng, 1)
+        rows.append((i, i, " ".join(w)))
+    prints = simhash._text_prints(spark.createDataFrame(rows, "id long, row long, text string"), 5, 1, 0.8)
+    scratch = simhash.Scratch(spark)
+    met, sets = simhash.prefix_slots(prints, scratch)
+    split = prints.select("key", F.col("key").alias("part"))
+    made = simhash.prefix_links(met, sets, split, 0.8, scratch).distinct().count()
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, _, t in rows)]
+    links = sum(len(a & b) >= 0.8 * len(a | b) for i, a in enumerate(grams) for b in grams[:i])
+    assert made == links and 20 < links < 1000, (made, links)
