@@ -150,10 +150,10 @@ CASE WHEN c_custkey % 5 = 0 THEN 'match' WHEN c_custkey % 5 = 1 THEN 'harmless'
 )
 def fn_compare_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses made of customer columns: the same, with short forms, with another house number, with another postal
-    code, with more detail."""
+    code, with more detail. House numbers have seven digits or more: six that stand alone would be a postal code."""
     key = F.col("c_custkey")
     code = (100000 + key % 899999).cast("string")
-    at = lambda house, road, code: F.concat_ws(" ", house.cast("string"), F.col("c_mktsegment"), F.lit(road), code)
+    at = lambda house, road, code: F.concat_ws(" ", F.lpad(house.cast("string"), F.greatest(F.length(house.cast("string")), F.lit(7)), F.lit("0")), F.col("c_mktsegment"), F.lit(road), code)
     a = at(key, "Road", code)
     b = (
         F.when(key % 5 == 0, a)
