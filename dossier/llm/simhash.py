@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.llm.components import connected_components
-from dossier.storage import Scratch, broadcast_if_small, materialize, read_table, scratch_name
+from dossier.storage import Scratch, broadcast_if_small, materialize, measured_broadcasts, read_table, scratch_name
 
 SEED = 42
 #: Shingles hashed at a time; bounds a task's memory for very long texts.
@@ -178,6 +178,13 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3, radius: int = 2,
     empty texts have fingerprint zero and are linked like any other. A null doc_id keeps its row and never is the
     smallest, unless a component has no other: then component_id is null. An empty table gives no rows.
     """
+    with measured_broadcasts(docs.sparkSession):
+        prints, classes = _classes(docs, shingle_words, radius, id_col, text_col)
+    return prints.join(classes, "f0").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _classes(docs: DataFrame, shingle_words: int, radius: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, f0) of every row of ``docs``, and rows (f0, component_id) of its fingerprints."""
     prints = materialize(fingerprints(docs, shingle_words, 1, id_col, text_col), "fingerprints")
     distinct = materialize(prints.groupBy("f0").agg(F.min("id").alias("least")), "distinct")
     pairs = links(distinct.select(F.col("f0").alias("key"), "f0"), 1, 64 // max(2, radius // 2 + 1), radius)
@@ -185,8 +192,7 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3, radius: int = 2,
     joined = distinct.join(roots, F.col("f0") == F.col("node"), "left").select("f0", "least", F.coalesce("root", "f0").alias("root"))
     joined = materialize(joined, "roots")
     best = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialize(joined.join(best, "root").select("f0", "component_id"), "classes")
-    return prints.join(classes, "f0").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints, materialize(joined.join(best, "root").select("f0", "component_id"), "classes")
 
 
 def shingle_set(words: list[bytes], size: int) -> np.ndarray:
@@ -378,6 +384,11 @@ def deduplicate(
     different texts the row with the smaller hash of its text stays. All columns are kept, whatever their names; an empty
     table gives no rows. A very long text costs memory in proportion to its distinct shingles.
     """
+    with measured_broadcasts(docs.sparkSession):
+        return _deduplicated(docs, similarity, verify_words, radius, id_col, text_col)
+
+
+def _deduplicated(docs: DataFrame, similarity: float, verify_words: int, radius: int, id_col: str, text_col: str) -> DataFrame:
     narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     scratch = Scratch(docs.sparkSession, clean=True)
     prints = scratch.table(_text_prints(narrow, verify_words, 1, similarity), "prints")

@@ -7,6 +7,7 @@ import pytest
 from test_queries import rows
 
 from dossier.plans import catalogue
+from dossier.storage import measured_broadcasts
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +31,34 @@ def same_as_sql(spark, tmp_path):
 
 def test_addresses_of_customers_with_six_digit_keys(same_as_sql):
     same_as_sql("fn_compare_addresses", customer="SELECT * REPLACE (c_custkey * 6257 AS c_custkey) FROM {table}")
+
+
+def test_what_an_explode_makes_is_not_broadcast_for_its_guessed_size(spark):
+    """The planner takes a table of variants to be as small as the fingerprints that they are made of."""
+    from dossier.llm import simhash
+
+    prints = spark.range(1000).selectExpr("xxhash64(id) AS f0")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan(simhash.stars(prints, 3))
+    with measured_broadcasts(spark):
+        assert "BroadcastHashJoin" not in plan(simhash.stars(prints, 3))
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
+def test_near_dedup_broadcasts_nothing_unmeasured(spark, monkeypatch):
+    from dossier import storage
+    from dossier.llm import simhash
+
+    texts = [" ".join(f"w{(i // 2) * 7 + k}" for k in range(40)) + (" end" if i % 2 else "") for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plans, table = [], storage.Scratch.table
+
+    def written(self, df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return table(self, df, label)
+
+    monkeypatch.setattr(storage.Scratch, "table", written)
+    monkeypatch.setattr(simhash, "broadcast_if_small", lambda df: df)
+    assert simhash.deduplicate(docs).count() == 30
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)
