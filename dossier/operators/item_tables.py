@@ -1,11 +1,14 @@
 """Line items of printed tables and of rate lines, and their merge with items read before.
 
-A table is its cells (document_id, table_no, row_index, column_index, content). Rows are put together as maps of columns,
-header rows are told by their labels, and the rows below a header meet it by an equality join up to the first that ends it.
+A table is its cells (document_id, table_no, row_index, column_index, content), or a document its whole tables (see
+``whole_documents``). Header rows are told by their labels, and the rows below a header are read up to the first that ends
+it, all inside the document's own row: nothing is joined.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,12 +42,25 @@ def printed_number(text: Column) -> Column:
     return F.regexp_replace(text, r"[,\s]", "").try_cast("double")
 
 
-def table_rows(cells: DataFrame) -> DataFrame:
-    """Rows (document_id, table_no, row_index, cells): the cells of a row as structs (col, text), by column; of several contents
-    of one place the last in order counts. A null content is empty."""
+def whole_documents(cells: DataFrame) -> DataFrame:
+    """Rows (document_id, tables): the tables of a document, structs (table_no, rows of (row_index, cells of (col, text))), each in
+    order; of several contents of one place the last in order counts. A null content is empty.
+
+    Rows that have ``tables`` already are taken as they are. Else all cells are dealt out once, by document, so that nothing
+    after that shuffles: the parsers work on one document at a time, which a task holds in memory.
+    """
+    if "tables" in cells.columns:
+        return cells.select("document_id", "tables")
     text = F.trim(F.coalesce("content", F.lit("")))
-    placed = cells.groupBy("document_id", "table_no", "row_index", F.col("column_index").alias("col")).agg(F.max(text).alias("text"))
-    return placed.groupBy("document_id", "table_no", "row_index").agg(F.array_sort(F.collect_list(F.struct("col", "text"))).alias("cells"))
+    put = lambda df, keys, name, *parts: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*parts))).alias(name))
+    placed = cells.repartition("document_id").groupBy("document_id", "table_no", "row_index", F.col("column_index").alias("col")).agg(F.max(text).alias("text"))
+    rows = put(placed, ["document_id", "table_no", "row_index"], "cells", "col", "text")
+    return put(put(rows, ["document_id", "table_no"], "rows", "row_index", "cells"), ["document_id"], "tables", "table_no", "rows")
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often it is used there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def _at(cells: Column, col: Column) -> Column:
@@ -52,36 +68,40 @@ def _at(cells: Column, col: Column) -> Column:
     return F.coalesce(F.get(F.filter(cells, lambda c: c["col"] == col), F.lit(0))["text"], F.lit(""))
 
 
-def _first_table(found: DataFrame, order: list[str]) -> DataFrame:
-    """The rows of the first table, and header, of each document that has any."""
-    first = found.groupBy("document_id").agg(F.min(F.struct(*order)).alias("__first"))
-    return found.join(first, "document_id").filter(F.struct(*order) == F.col("__first")).drop("__first")
+def _first_good(cells: DataFrame, found: Callable[[Column], Column]) -> DataFrame:
+    """Rows (document_id, one): of all that ``found`` gives for the tables of a document, arrays of structs, the first."""
+    # as a generator it is worked out once; the planner would repeat a projected column in the filters that it pushes down
+    first = F.explode_outer(F.slice(F.flatten(F.transform("tables", found)), 1, 1)).alias("one")
+    return whole_documents(cells).select("document_id", first).filter("one IS NOT NULL")
 
 
 def parse_single_row_table(cells: DataFrame) -> DataFrame:
     """Rows (document_id, table_no, kind, column, label, amount, rate) of the first table of a document that has two rows, labels
     and amounts, a total and LEAST_CHARGES other charges. kind is item, subtotal, total or tax_amount (with the rate of its
     label); of several columns of the last three the last counts. Cells that are no number are passed over."""
-    rows = table_rows(cells)
-    two = rows.groupBy("document_id", "table_no").agg(F.count("*").alias("n"), F.min_by("cells", "row_index").alias("head"), F.max_by("cells", "row_index").alias("body")).filter("n = 2")
-    each = two.select("document_id", "table_no", "body", F.explode("head").alias("h")).select("document_id", "table_no", F.col("h.col").alias("column"), F.col("h.text").alias("label"), F.regexp_extract(_at(F.col("body"), F.col("h.col")), ONE_NUMBER, 1).alias("number"))
-    label = F.col("label")
-    kind = F.when(label.rlike(SUBTOTAL_LABEL), "subtotal").when(label.rlike(TOTAL_LABEL), "total").when(label.rlike(TAX_LABEL), "tax_amount").otherwise("item")
-    rate = F.when(F.col("kind") == "tax_amount", F.nullif(F.regexp_extract(label, r"([0-9]+(?:\.[0-9]+)?)\s*%", 1), F.lit("")).try_cast("double"))
-    read = each.filter("label <> '' AND number <> ''").withColumn("kind", kind)
-    last = W.partitionBy("document_id", "table_no", "kind").orderBy(F.desc("column"))
-    read = read.withColumn("nth", F.row_number().over(last)).filter("kind = 'item' OR nth = 1")
-    good = read.groupBy("document_id", "table_no").agg(F.count_if(F.col("kind") == "item").alias("items"), F.bool_or(F.col("kind") == "total").alias("total")).filter(F.col("total") & (F.col("items") >= LEAST_CHARGES))
-    found = read.join(good.select("document_id", "table_no"), ["document_id", "table_no"])
-    return _first_table(found, ["table_no"]).select("document_id", "table_no", "kind", "column", "label", printed_number(F.col("number")).alias("amount"), rate.alias("rate"))
-
-
-def _below(rows: DataFrame, headers: DataFrame, ends: Column) -> DataFrame:
-    """The rows below each header (document_id, table_no, header, more), with ``last`` true on the first that ``ends``; none after it."""
-    met = rows.join(headers, ["document_id", "table_no"]).filter("row_index > header").withColumn("ends", ends)
-    one = W.partitionBy("document_id", "table_no", "header").orderBy("row_index")
-    ended = F.coalesce(F.max(F.col("ends").cast("int")).over(one.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return met.withColumn("ended", ended).filter("ended = 0").drop("ended")
+    kind = lambda t: F.when(t.rlike(SUBTOTAL_LABEL), "subtotal").when(t.rlike(TOTAL_LABEL), "total").when(t.rlike(TAX_LABEL), "tax_amount").otherwise("item")
+
+    def charges(head: Column, body: Column) -> Column:
+        numbered = F.transform(head, lambda h: F.struct(h["col"].alias("column"), h["text"].alias("label"), F.regexp_extract(_at(body, h["col"]), ONE_NUMBER, 1).alias("number")))
+        return F.transform(F.filter(numbered, lambda r: (r["label"] != "") & (r["number"] != "")), lambda r: F.struct(kind(r["label"]).alias("kind"), r["column"].alias("column"), r["label"].alias("label"), r["number"].alias("number")))
+
+    def found(t: Column) -> Column:
+        two = F.filter(F.array(t["rows"]), lambda rows: F.size(rows) == 2)
+        read = F.transform(two, lambda rows: F.struct(t["table_no"].alias("table_no"), charges(rows[0]["cells"], rows[1]["cells"]).alias("read")))
+        items = lambda r: F.size(F.filter(r, lambda c: c["kind"] == "item"))
+        return F.filter(read, lambda x: F.exists(x["read"], lambda c: c["kind"] == "total") & (items(x["read"]) >= LEAST_CHARGES))
+
+    first = _first_good(cells, found).select("document_id", F.col("one.table_no").alias("table_no"), F.col("one.read").alias("read"))
+    last = F.filter("read", lambda r: (r["kind"] == "item") | ~F.exists("read", lambda o: (o["kind"] == r["kind"]) & (o["column"] > r["column"])))
+    each = first.select("document_id", "table_no", F.explode_outer(last).alias("r")).select("document_id", "table_no", "r.*")
+    rate = F.when(F.col("kind") == "tax_amount", F.nullif(F.regexp_extract("label", r"([0-9]+(?:\.[0-9]+)?)\s*%", 1), F.lit("")).try_cast("double"))
+    return each.select("document_id", "table_no", "kind", "column", "label", printed_number(F.col("number")).alias("amount"), rate.alias("rate"))
+
+
+def _below(rows: Column, i: Column, read: Callable[[Column], Column]) -> Column:
+    """What ``read`` makes of the rows of a table below the one at ``i``, structs with ``ends``, up to the first that ends."""
+    below = F.transform(F.slice(rows, i + 2, F.size(rows)), read)
+    return _let(below, lambda x: _let(F.array_position(F.transform(x, lambda r: r["ends"]), F.lit(True)).cast("int"), lambda n: F.when(n > 0, F.slice(x, F.lit(1), n)).otherwise(x)))
 
 
 def column_roles(header: Column) -> Column:
@@ -96,7 +116,7 @@ def column_roles(header: Column) -> Column:
         return F.when(~percent(text), found)
 
     named = F.filter(F.transform(header, lambda c: F.struct(role(c["text"]).alias("role"), c["col"].alias("col"), c["text"].alias("label"))), lambda r: r["role"].isNotNull())
-    return F.filter(named, lambda r: ~F.exists(named, lambda o: (o["role"] == r["role"]) & (o["col"] < r["col"])))
+    return _let(named, lambda n: F.filter(n, lambda r: ~F.exists(n, lambda o: (o["role"] == r["role"]) & (o["col"] < r["col"]))))
 
 
 def parse_multi_column_table(cells: DataFrame) -> DataFrame:
@@ -104,18 +124,34 @@ def parse_multi_column_table(cells: DataFrame) -> DataFrame:
     least three amount roles, a net or total among them, and two items below it; of several headers the first. columns maps
     roles to amounts. Items end at a row without description or with one of a total; rows without amounts are passed over.
     line_total is the net amount, or else the total."""
-    rows = table_rows(cells)
-    described = F.get(F.filter("cells", lambda c: c["text"].rlike(DESCRIPTION_LABEL)), F.lit(0))["col"]
-    headers = rows.select("document_id", "table_no", F.col("row_index").alias("header"), column_roles(F.col("cells")).alias("roles"), F.coalesce(described, F.get("cells", F.lit(0))["col"]).alias("described"))
-    headers = headers.filter((F.size("roles") >= 3) & F.exists("roles", lambda r: r["role"].isin("net", "total")))
-    label = _at(F.col("cells"), F.col("described"))
-    below = _below(rows, headers, (label == "") | label.rlike(TOTAL_LABEL) | label.rlike(SUBTOTAL_LABEL)).filter("NOT ends")
-    amounts = F.filter(F.transform("roles", lambda r: F.struct(r["role"].alias("key"), cell_amount(_at(F.col("cells"), r["col"])).alias("value"))), lambda e: e["value"].isNotNull())
-    read = below.select("document_id", "table_no", "header", "row_index", label.alias("description"), F.map_from_entries(amounts).alias("columns"))
-    read = read.withColumn("line_total", F.coalesce(F.try_element_at("columns", F.lit("net")), F.try_element_at("columns", F.lit("total")))).filter("line_total IS NOT NULL")
-    good = read.groupBy("document_id", "table_no", "header").count().filter("count >= 2").drop("count")
-    found = read.join(good, ["document_id", "table_no", "header"])
-    return _first_table(found, ["table_no", "header"]).select("document_id", "table_no", "row_index", "description", "line_total", "columns")
+    role = dict(ROLES)
+    has_amounts = lambda r: (F.size(r["cells"]) >= 3) & F.exists(r["cells"], lambda c: c["text"].rlike(role["net"]) | c["text"].rlike(role["total"]))
+
+    def header(r: Column, i: Column) -> Column:
+        described = F.get(F.filter(r["cells"], lambda c: c["text"].rlike(DESCRIPTION_LABEL)), F.lit(0))["col"]
+        return F.when(has_amounts(r), F.struct(i.alias("i"), column_roles(r["cells"]).alias("roles"), F.coalesce(described, F.get(r["cells"], F.lit(0))["col"]).alias("described")))
+
+    def amounts(r: Column, roles: Column) -> Column:
+        each = F.transform(roles, lambda x: F.struct(x["role"].alias("key"), _let(_at(r["cells"], x["col"]), cell_amount).alias("value")))
+        return F.map_from_entries(F.filter(each, lambda e: e["value"].isNotNull()))
+
+    def items(rows: Column, h: Column) -> Column:
+        label = lambda r: F.struct(r.alias("row"), _at(r["cells"], h["described"]).alias("label"))
+        ended = lambda x: F.struct(x["row"].alias("row"), x["label"].alias("label"), ((x["label"] == "") | x["label"].rlike(TOTAL_LABEL) | x["label"].rlike(SUBTOTAL_LABEL)).alias("ends"))
+        live = F.filter(_below(rows, h["i"], lambda r: _let(label(r), ended)), lambda x: ~x["ends"])
+        read = F.transform(live, lambda x: F.struct(x["row"]["row_index"].alias("row_index"), x["label"].alias("description"), amounts(x["row"], h["roles"]).alias("columns")))
+        return F.filter(read, lambda x: _line_total(x["columns"]).isNotNull())
+
+    def found(t: Column) -> Column:
+        headers = F.filter(F.transform(t["rows"], header), lambda h: (F.size(h["roles"]) >= 3) & F.exists(h["roles"], lambda r: r["role"].isin("net", "total")))
+        return F.filter(F.transform(headers, lambda h: F.struct(t["table_no"].alias("table_no"), items(t["rows"], h).alias("items"))), lambda x: F.size(x["items"]) >= 2)
+
+    each = _first_good(cells, found).select("document_id", F.col("one.table_no").alias("table_no"), F.explode_outer("one.items").alias("x")).select("document_id", "table_no", "x.*")
+    return each.select("document_id", "table_no", "row_index", "description", _line_total(F.col("columns")).alias("line_total"), "columns")
+
+
+def _line_total(columns: Column) -> Column:
+    return F.coalesce(F.try_element_at(columns, F.lit("net")), F.try_element_at(columns, F.lit("total")))
 
 
 def parse_stacked_table(cells: DataFrame) -> DataFrame:
@@ -123,27 +159,35 @@ def parse_stacked_table(cells: DataFrame) -> DataFrame:
     amount column in whose rows several lines are stacked in one cell: descriptions and amounts, in order, must be equally
     many and two at least. Rows end at one of a total or tax; total is the amount of such a row of a total with one number.
     A cell of the amount column that holds more than numbers before that spoils the header."""
-    rows = table_rows(cells)
-    described = F.get(F.filter("cells", lambda c: c["text"].rlike(DESCRIPTION_LABEL)), F.lit(0))["col"]
-    headers = rows.withColumn("described", described).filter("described IS NOT NULL")
-    headers = headers.withColumn("amounts", F.get(F.filter("cells", lambda c: (c["col"] != F.col("described")) & c["text"].rlike(AMOUNT_LABEL)), F.lit(0))["col"]).filter("amounts IS NOT NULL")
-    headers = headers.select("document_id", "table_no", F.col("row_index").alias("header"), "described", "amounts")
-    label, cell = _at(F.col("cells"), F.col("described")), _at(F.col("cells"), F.col("amounts"))
-    spoiled = (cell != "") & ~cell.rlike(ONLY_NUMBERS)
-    total = label.rlike(TOTAL_LABEL)
-    below = _below(rows, headers, spoiled | total | label.rlike(SUBTOTAL_LABEL) | label.rlike(TAX_LABEL))
-    values = F.regexp_extract_all(cell, F.lit(f"({NUMBER})"), F.lit(1))
-    lines = F.filter(F.transform(F.split(label, r"\R"), lambda x: F.trim(x)), lambda x: x != "")
-    read = below.select(
-        "document_id", "table_no", "header", "row_index", "ends", (F.col("ends") & spoiled).alias("spoiled"), F.when(~F.col("ends"), lines).alias("lines"), F.when(~F.col("ends"), values).alias("values"),
-        F.when(F.col("ends") & ~spoiled & total & ~label.rlike(SUBTOTAL_LABEL) & (F.size(values) == 1), printed_number(F.get(values, F.lit(0)))).alias("total"),
-    )
-    in_order = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row_index", F.coalesce(c, F.array().cast("array<string>")).alias("v")))), lambda r: r["v"]))
-    one = read.groupBy("document_id", "table_no", "header").agg(
-        F.bool_or("spoiled").alias("spoiled"), F.bool_or((F.size("lines") > 1) | (F.size("values") > 1)).alias("stacked"), F.max("total").alias("total"), in_order("lines").alias("lines"), in_order("values").alias("values")
-    )
-    good = one.filter(~F.col("spoiled") & F.col("stacked") & (F.size("lines") >= 2) & (F.size("lines") == F.size("values")))
-    items = _first_table(good, ["table_no", "header"]).select("document_id", "table_no", "total", F.posexplode(F.arrays_zip("lines", "values")).alias("item_no", "i"))
+
+    def header(r: Column, i: Column) -> Column:
+        described = F.get(F.filter(r["cells"], lambda c: c["text"].rlike(DESCRIPTION_LABEL)), F.lit(0))["col"]
+        amounts = lambda d: F.get(F.filter(r["cells"], lambda c: (c["col"] != d) & c["text"].rlike(AMOUNT_LABEL)), F.lit(0))["col"]
+        return _let(described, lambda d: F.struct(i.alias("i"), d.alias("described"), F.when(d.isNotNull(), amounts(d)).alias("amounts")))
+
+    def told(label: Column, cell: Column) -> Column:
+        spoiled, total, subtotal = (cell != "") & ~cell.rlike(ONLY_NUMBERS), label.rlike(TOTAL_LABEL), label.rlike(SUBTOTAL_LABEL)
+        names = lambda k: F.struct(label.alias("label"), cell.alias("cell"), k["spoiled"].alias("spoiled"), (k["total"] & ~k["subtotal"]).alias("total"), (k["spoiled"] | k["total"] | k["subtotal"] | label.rlike(TAX_LABEL)).alias("ends"))
+        return _let(F.struct(spoiled.alias("spoiled"), total.alias("total"), subtotal.alias("subtotal")), names)
+
+    def stack(rows: Column, h: Column) -> Column:
+        texts = lambda r: F.struct(_at(r["cells"], h["described"]).alias("label"), _at(r["cells"], h["amounts"]).alias("cell"))
+        below = _below(rows, h["i"], lambda r: _let(texts(r), lambda x: told(x["label"], x["cell"])))
+        values = lambda x: F.regexp_extract_all(x["cell"], F.lit(f"({NUMBER})"), F.lit(1))
+        lines = lambda x: F.filter(F.transform(F.split(x["label"], r"\R"), lambda line: F.trim(line)), lambda line: line != "")
+        live = lambda b: F.transform(F.filter(b, lambda x: ~x["ends"]), lambda x: F.struct(lines(x).alias("lines"), values(x).alias("values")))
+        total = lambda b: F.get(F.filter(F.transform(F.filter(b, lambda x: x["total"] & ~x["spoiled"]), values), lambda v: F.size(v) == 1), F.lit(0))[0]
+        return _let(below, lambda b: F.struct(F.exists(b, lambda x: x["spoiled"]).alias("spoiled"), total(b).alias("total"), live(b).alias("live")))
+
+    def found(t: Column) -> Column:
+        headers = F.filter(F.transform(t["rows"], header), lambda h: h["amounts"].isNotNull())
+        whole = F.filter(F.transform(headers, lambda h: stack(t["rows"], h)), lambda x: ~x["spoiled"] & F.exists(x["live"], lambda r: (F.size(r["lines"]) > 1) | (F.size(r["values"]) > 1)))
+        in_order = lambda x, c: F.flatten(F.transform(x["live"], lambda r: r[c])).alias(c)
+        each = F.transform(whole, lambda x: F.struct(t["table_no"].alias("table_no"), x["total"].alias("total"), in_order(x, "lines"), in_order(x, "values")))
+        return F.filter(each, lambda x: (F.size(x["lines"]) >= 2) & (F.size(x["lines"]) == F.size(x["values"])))
+
+    first = _first_good(cells, found).select("document_id", "one.*")
+    items = first.select("document_id", "table_no", printed_number(F.col("total")).alias("total"), F.posexplode_outer(F.arrays_zip("lines", "values")).alias("item_no", "i"))
     return items.select("document_id", "table_no", "item_no", F.col("i.lines").alias("description"), printed_number(F.col("i.values")).alias("line_total"), "total")
 
 

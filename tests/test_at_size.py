@@ -62,3 +62,14 @@ def test_near_dedup_broadcasts_nothing_unmeasured(spark, monkeypatch):
     monkeypatch.setattr(simhash, "broadcast_if_small", lambda df: df)
     assert simhash.deduplicate(docs).count() == 30
     assert plans and not any("BroadcastHashJoin" in p for p in plans)
+
+
+@pytest.mark.parametrize("name", ["parse_multi_column_table", "parse_single_row_table", "parse_stacked_table"])
+def test_tables_are_parsed_without_joins_or_sorted_cells(spark, name):
+    """Joins of exploded cells with headers were sized as the orders, and every step dealt out all cells anew."""
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+
+
+def test_tables_of_a_repeated_order(same_as_sql):
+    same_as_sql("parse_multi_column_table", orders="SELECT * FROM {table} WHERE o_orderkey < 50 UNION ALL SELECT * REPLACE (o_totalprice + 1 AS o_totalprice) FROM {table} WHERE o_orderkey < 20")
