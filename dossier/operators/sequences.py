@@ -16,6 +16,8 @@ from dossier.storage import Scratch, broadcast_if_small
 
 #: Rows that one block of ranks holds.
 BLOCK_ROWS = 65_536
+#: Blocks of ranks of one order at most.
+MOST_BLOCKS = 2048
 
 
 def _following(events: DataFrame, keys: list[str], window: int) -> DataFrame:
@@ -126,11 +128,18 @@ def order_agreement(items: DataFrame, first: list[Column], second: list[Column],
 
     Discordant pairs are counted in three parts, none of which makes a pair: pairs of one block of second ranks by merging
     that block in first order, those of one block of first ranks by merging its block numbers, and all others from the
-    counts of the blocks by blocks, summed along both sides.
+    counts of the blocks by blocks, summed along both sides. Blocks have ``block_rows`` rows, or more where there would be
+    over MOST_BLOCKS: the counts grow with the square of the blocks, and a block is held by one task.
     """
-    scratch = Scratch(items.sparkSession)
-    both = ranked(ranked(items, first, "ra", scratch), second, "rb", scratch).select("ra", "rb")
+    scratch = Scratch(items.sparkSession, clean=True)
+    names = [[f"{side}{i}" for i in range(len(order))] for side, order in (("a", first), ("b", second))]
+    narrow = items.select(*(c.alias(n) for order, own in zip((first, second), names, strict=True) for c, n in zip(order, own, strict=True)))
+    by_first = ranked(narrow, [F.col(c) for c in names[0]], "ra", scratch).select("ra", *names[1])
+    both = ranked(by_first, [F.col(c) for c in names[1]], "rb", scratch).select("ra", "rb")
+    n = items.count()
+    block_rows = max(block_rows, -(-n // MOST_BLOCKS))
     both = scratch.table(both.select("ra", "rb", F.floor(F.col("ra") / block_rows).alias("ba"), F.floor(F.col("rb") / block_rows).alias("bb")), "ranks")
+    scratch.drop("placed", "starts")
 
     def merged(order: str, value: str):  # noqa: ANN202
         def run(table: pa.Table) -> pa.Table:
@@ -143,7 +152,6 @@ def order_agreement(items: DataFrame, first: list[Column], second: list[Column],
     cells = scratch.table(both.groupBy("ba", "bb").count(), "cells")
     above = W.partitionBy("bb").orderBy("ba").rowsBetween(W.unboundedPreceding, -1)
     beside = W.partitionBy("ba").orderBy(F.desc("bb")).rowsBetween(W.unboundedPreceding, -1)
-    n = both.count()
     # every block of first ranks with every block of second ranks, so that earlier counts are carried along
     grid = cells.select("ba").distinct().withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-n // block_rows) - 1))).cast("array<long>")))
     full = grid.join(cells, ["ba", "bb"], "left").withColumn("count", F.coalesce("count", F.lit(0)))

@@ -73,3 +73,28 @@ def test_tables_are_parsed_without_joins_or_sorted_cells(spark, name):
 
 def test_tables_of_a_repeated_order(same_as_sql):
     same_as_sql("parse_multi_column_table", orders="SELECT * FROM {table} WHERE o_orderkey < 50 UNION ALL SELECT * REPLACE (o_totalprice + 1 AS o_totalprice) FROM {table} WHERE o_orderkey < 20")
+
+
+def test_order_agreement_keeps_its_grid_small(spark, monkeypatch):
+    """Counts of blocks by blocks grow with the square of the blocks, so these are bounded, not their rows."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from dossier import storage
+    from dossier.operators import sequences
+
+    monkeypatch.setattr(sequences, "MOST_BLOCKS", 8, raising=False)
+    rng, cells, table = random.Random(3), [], storage.Scratch.table
+
+    def written(self, df, label):
+        out = table(self, df, label)
+        if label == "cells":
+            cells.append(out.count())
+        return out
+
+    monkeypatch.setattr(storage.Scratch, "table", written)
+    values = [rng.random() for _ in range(400)]
+    got = sequences.order_agreement(spark.createDataFrame(list(enumerate(values)), "i int, v double"), [F.col("i")], [F.col("v")], 5).first()
+    assert got["discordant"] == sum(values[i] > values[j] for i in range(400) for j in range(i + 1, 400)) and got["n"] == 400
+    assert cells and cells[0] <= 64
