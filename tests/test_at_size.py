@@ -98,3 +98,17 @@ def test_order_agreement_keeps_its_grid_small(spark, monkeypatch):
     got = sequences.order_agreement(spark.createDataFrame(list(enumerate(values)), "i int, v double"), [F.col("i")], [F.col("v")], 5).first()
     assert got["discordant"] == sum(values[i] > values[j] for i in range(400) for j in range(i + 1, 400)) and got["n"] == 400
     assert cells and cells[0] <= 64
+
+
+def test_only_names_and_addresses_are_looked_up(spark, monkeypatch):
+    """Values that differ in every case, as incomes and numbers do, were made distinct, written and joined back."""
+    from dossier.operators import contradictions
+
+    rows = [(1, i, "t", field, value, None, False) for field, values in {"full_name": ["Ravi Khan", "Seema Khan"], "annual_income": ["100", "900"], "id_number": ["1234", "9999"], "address": ["1 Lake Road", "2 Lake Road"]}.items() for i, value in enumerate(values)]
+    written = {}
+    table = contradictions.materialize
+    monkeypatch.setattr(contradictions, "materialize", lambda df, label: written.setdefault(label, table(df, label)))
+    fields = spark.createDataFrame(rows, "case_id int, document_id int, document_type string, field string, value string, currency string, uncertain boolean")
+    got = contradictions.identity_contradictions(fields).select("field", "reason", "severity").collect()
+    assert sorted(map(tuple, got)) == [("address", "address_difference", "low"), ("annual_income", "income_difference", "critical"), ("full_name", "different_name", "critical"), ("id_number", "id_number_difference", "high")]
+    assert set(written) == {"classes", "judged"} and {r["field"] for r in written["judged"].collect()} == {"full_name", "address"}
