@@ -8,6 +8,8 @@ it, all inside the document's own row: nothing is joined.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -224,24 +226,31 @@ def merge_line_items(existing: DataFrame, parsed: DataFrame) -> DataFrame:
     description, line_total) replaces what ``existing`` (the same, and box) has of it.
 
     A parsed item takes the place, and the box, of the existing one of its source, description and amount; else, in order, of
-    the next existing one of source "llm" of its amount: a join on (document, amount, occurrence), so a second merge changes
-    nothing. What is left of ``existing`` stays, what is left of ``parsed`` follows. Parsed items of one source,
+    the next existing one of source "llm" of its amount: they are told by (document, amount, occurrence), so a second merge
+    changes nothing. What is left of ``existing`` stays, what is left of ``parsed`` follows. Parsed items of one source,
     description and amount are one. Amounts are compared in cents; items without amount replace nothing."""
-    cents = F.round(F.col("line_total") * 100).cast("long")
-    same = ["document_id", "source", "description", "cents"]
-    new = parsed.withColumn("cents", cents).groupBy(*same).agg(F.min(F.struct("place", "line_total")).alias("p")).select(*same, F.col("p.place").alias("new_place"), F.col("p.line_total").alias("new_total"))
-    old = existing.withColumn("cents", cents)
-    nth = lambda by, order, name, df: df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(order)))
-    keyed = nth(same, "place", "nth", old)
-    again = keyed.filter("nth = 1 AND source <> 'llm' AND cents IS NOT NULL").select(*same, F.col("place").alias("old_place"))
-    known = new.join(again, same, "left")
-    fresh = nth(["document_id", "cents"], "new_place", "nth", known.filter("old_place IS NULL").drop("old_place"))
-    first = nth(["document_id", "cents"], "place", "nth", old.filter("source = 'llm' AND cents IS NOT NULL")).select("document_id", "cents", "nth", F.col("place").alias("old_place"))
-    dealt = fresh.join(first, ["document_id", "cents", "nth"], "left").drop("nth").unionByName(known.filter("old_place IS NOT NULL"))
-    put = dealt.select("document_id", F.col("old_place").alias("place"), F.col("source").alias("n_source"), F.col("description").alias("n_description"), F.col("new_total").alias("n_total"), "new_place")
-    kept = old.join(put.filter("place IS NOT NULL"), ["document_id", "place"], "left")
-    hit = F.col("n_source").isNotNull()
-    kept = kept.select("document_id", F.struct(F.lit(0).alias("part"), "place").alias("order"), F.when(hit, F.col("n_source")).otherwise(F.col("source")).alias("source"), F.when(hit, F.col("n_description")).otherwise(F.col("description")).alias("description"), F.when(hit, F.col("n_total")).otherwise(F.col("line_total")).alias("line_total"), "box")
-    added = put.filter("place IS NULL").select("document_id", F.struct(F.lit(1).alias("part"), F.col("new_place").alias("place")).alias("order"), F.col("n_source").alias("source"), F.col("n_description").alias("description"), F.col("n_total").alias("line_total"), F.lit(None).cast(existing.schema["box"].dataType).alias("box"))
-    every = kept.unionByName(added)
-    return every.withColumn("place", F.row_number().over(W.partitionBy("document_id").orderBy("order"))).select("document_id", "place", "source", "description", "line_total", "box")
+    kind = existing.schema["box"].dataType
+    every = existing.select("document_id", F.lit(0).alias("part"), "place", "source", "description", "line_total", "box")
+    every = every.unionByName(parsed.select("document_id", F.lit(1).alias("part"), "place", "source", "description", "line_total", F.lit(None).cast(kind).alias("box")))
+    # dealt out once, by document: all windows below are of one document, so they only sort
+    every = every.repartition("document_id").withColumn("cents", F.round(F.col("line_total") * 100).cast("long"))
+    item, amount = ["document_id", "source", "description", "cents"], ["document_id", "cents"]
+    old, new = F.col("part") == 0, F.col("part") == 1
+    told = lambda keys: reduce(and_, (F.col(k).isNotNull() for k in keys))
+    # of parsed items of one source, description and amount the first stays; it takes the place of the first such existing item
+    first = F.row_number().over(W.partitionBy(*item, "part").orderBy("place", "line_total"))
+    every = every.withColumn("nth", first).filter(old | (F.col("nth") == 1)).drop("nth")
+    again = F.min(F.when(old & (F.col("source") != "llm"), F.col("place"))).over(W.partitionBy(*item))
+    every = every.withColumn("hit", F.when(new & told(item), again))
+    # the others are dealt to the existing ones of "llm", the first of an amount to the first, and so on
+    role = F.when(new & F.col("hit").isNull(), "fresh").when(old & (F.col("source") == "llm"), "open")
+    every = every.withColumn("role", role).withColumn("nth", F.row_number().over(W.partitionBy(*amount, "role").orderBy("place")))
+    given = F.min(F.when(F.col("role") == "open", F.col("place"))).over(W.partitionBy(*amount, F.when(F.col("role").isNotNull(), F.col("nth"))))
+    every = every.withColumn("hit", F.when((F.col("role") == "fresh") & told(amount), given).otherwise(F.col("hit")))
+    # what takes a place meets the item that has it
+    target = F.when(old, F.col("place")).otherwise(F.col("hit"))
+    put = F.max(F.when(new, F.struct("source", "description", "line_total"))).over(W.partitionBy("document_id", "target"))
+    every = every.withColumn("target", target).withColumn("put", F.when(old & told(["document_id", "place"]), put)).filter(old | F.col("hit").isNull())
+    hit = F.col("put").isNotNull()
+    now = {c: F.when(hit, F.col(f"put.{c}")).otherwise(F.col(c)) for c in ("source", "description", "line_total")}
+    return every.withColumn("at", F.row_number().over(W.partitionBy("document_id").orderBy("part", "place"))).select("document_id", F.col("at").alias("place"), *(c.alias(n) for n, c in now.items()), "box")

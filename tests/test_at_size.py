@@ -112,3 +112,19 @@ def test_only_names_and_addresses_are_looked_up(spark, monkeypatch):
     got = contradictions.identity_contradictions(fields).select("field", "reason", "severity").collect()
     assert sorted(map(tuple, got)) == [("address", "address_difference", "low"), ("annual_income", "income_difference", "critical"), ("full_name", "different_name", "critical"), ("id_number", "id_number_difference", "high")]
     assert set(written) == {"classes", "judged"} and {r["field"] for r in written["judged"].collect()} == {"full_name", "address"}
+
+
+def test_merged_items_are_dealt_out_once(spark):
+    """Every window and join of the merge dealt out all items anew."""
+    from dossier.operators import item_tables
+
+    items = "document_id long, place int, source string, description string, line_total double"
+    old = spark.createDataFrame([(1, 1, "llm", "a", 5.0, 7), (1, 2, "table", "b", 6.0, 8), (1, 3, "llm", "c", None, 9), (None, 1, "llm", "d", 5.0, 1), (2, 1, "llm", "x", 5.0, 2)], items + ", box int")
+    new = spark.createDataFrame([(1, 1, "table", "b", 6.0), (1, 2, "table", "n", 5.0), (1, 3, "table", "n", 5.0), (1, 4, "table", "m", 5.0), (1, 5, "table", "e", None), (None, 1, "table", "d", 5.0)], items)
+    merged = item_tables.merge_line_items(old, new)
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = sorted((tuple(r) for r in merged.collect()), key=repr)
+    assert got == sorted([
+        (1, 1, "table", "n", 5.0, 7), (1, 2, "table", "b", 6.0, 8), (1, 3, "llm", "c", None, 9), (1, 4, "table", "m", 5.0, None), (1, 5, "table", "e", None, None),
+        (2, 1, "llm", "x", 5.0, 2), (None, 1, "llm", "d", 5.0, 1), (None, 2, "table", "d", 5.0, None),
+    ], key=repr)
